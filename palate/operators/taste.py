@@ -88,7 +88,7 @@ def listening_patterns(stats: DataFrame) -> DataFrame:
     )
 
     def says(text: str, n: int):
-        return F.format_string(f"{text} %s music (%.1f%%)", F.lower(f"mood_{n}"), F.col(f"pct_{n}"))
+        return F.format_string(f"{text} %s music (%.1f%%)", F.lower(f"mood_{n}"), F.bround(f"pct_{n}", 1))
 
     def row(kind: str, mood_col, pct, description):
         return F.struct(
