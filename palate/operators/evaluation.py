@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palate.functions.vectors import norm, row_error
+from palate.operators.similarity import nearest_tracks
 from palate.schema import FEATURES
 
 # Expected (lowest, highest) of each feature per genre, in genre order.
@@ -26,6 +29,7 @@ OVERLAP_GOOD, OVERLAP_HIGH, OVERLAP_SAME = 0.3, 0.6, 0.8
 SUITE_PASS, SUITE_WEAK = 80, 60
 TIERS = [(85, "excellent"), (70, "good"), (50, "fair")]
 HISTOGRAM_BINS = 50
+EMBEDDING_SAMPLE = 1000
 
 
 def quality(recs: DataFrame, keys: list[str]) -> DataFrame:
@@ -167,6 +171,60 @@ def embedding_norms(df: DataFrame) -> DataFrame:
     )
 
 
+def embedding_metrics(sample: DataFrame) -> DataFrame:
+    """Pairwise cosine statistics of a sample, itself included, and norm statistics.
+
+    Mean and deviation of all pairs follow from the sum of the unit vectors and from their second
+    moments, so no pair is formed; the smallest cosine is the nearest neighbour of a negated vector.
+    """
+    length = norm(F.col("vec"))
+    unit = sample.select("track_id", F.transform("vec", lambda x: F.when(length == 0, 0.0).otherwise(x / length)).alias("vec"))
+    moments = unit.mapInArrow(_moments, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+    totals = moments.agg(
+        F.sum(F.when(F.col("i") == -1, F.col("v") * F.col("v"))).alias("sum_sim"),
+        F.sum(F.when(F.col("i") >= 0, F.col("v") * F.col("v"))).alias("sum_sq"),
+    )
+    queries = unit.withColumnRenamed("track_id", "query_id")
+    opposite = queries.withColumn("vec", F.transform("vec", lambda x: -x))
+    lowest = nearest_tracks(opposite, unit, 1).agg((-F.max("sim")).alias("min_similarity"))
+    highest = nearest_tracks(queries, unit, 1).agg(F.max("sim").alias("max_similarity"))
+    counted = sample.agg(F.count(F.lit(1)).alias("n"))
+    out = totals
+    one = F.lit(1).alias("_one")
+    out = out.select("*", one)
+    for part in (lowest, highest, counted, embedding_norms(sample)):
+        out = out.join(F.broadcast(part.select("*", one)), "_one")
+    pairs = F.col("n") * F.col("n")
+    mean = F.col("sum_sim") / pairs
+    return out.select(
+        mean.alias("mean_similarity"),
+        F.sqrt(F.greatest(F.col("sum_sq") / pairs - mean * mean, F.lit(0.0))).alias("std_similarity"),
+        "min_similarity",
+        "max_similarity",
+        "embedding_norm_mean",
+        "embedding_norm_std",
+    )
+
+
+def _moments(batches):
+    """Per Arrow batch: component sums as row -1, and the products of every two components."""
+    for batch in batches:
+        vec = batch.column(batch.schema.get_field_index("vec"))
+        if not len(vec):
+            continue
+        m = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(vec), -1)
+        dim = m.shape[1]
+        i, j = np.divmod(np.arange(dim * dim), dim)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([np.full(dim, -1), i]).astype("int32")),
+                pa.array(np.concatenate([np.arange(dim), j]).astype("int32")),
+                pa.array(np.concatenate([m.sum(0), (m.T @ m).ravel()])),
+            ],
+            ["i", "j", "v"],
+        )
+
+
 def suite_rollup(checks: DataFrame) -> DataFrame:
     """checks(suite, passed): counts and rates per suite and overall, with the verdicts."""
     rolled = checks.rollup("suite").agg(

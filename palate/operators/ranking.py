@@ -126,25 +126,25 @@ def merge_moods(lists: DataFrame) -> DataFrame:
 def mood_quotas(recs: DataFrame, n: int, shares: DataFrame | None = None) -> DataFrame:
     """Give each mood its share of n rows, then fill up by score.
 
-    shares(user_id, source_mood, pct) weighs the moods that returned rows; a mood without a share, or
-    no shares at all, gets an equal part. Lists of n rows or fewer are returned as they are. Each
-    mood's list is already bounded, so the windows per user are too.
+    shares(user_id, source_mood, cnt) weighs the moods that returned rows by the listener's own track
+    counts; a mood without a share, or no shares at all, gets an equal part. Quotas are whole-number
+    divisions, so they do not hang on summation order. Lists of n rows or fewer are returned as they
+    are. Each mood's list is already bounded, so the windows per user are too.
     """
-    per_mood = recs.groupBy("user_id", "source_mood").agg(F.count(F.lit(1)).alias("available"))
+    weighed = recs.groupBy("user_id", "source_mood").agg(F.count(F.lit(1)).alias("available"))
     user = Window.partitionBy("user_id")
     if shares is None:
-        weighed = per_mood.withColumn("weight", F.lit(None).cast("double"))
+        weighed = weighed.withColumn("cnt", F.lit(None).cast("bigint"))
     else:
-        part = F.col("pct") / 100
-        weighed = per_mood.join(shares.select("user_id", "source_mood", "pct"), ["user_id", "source_mood"], "left")
-        total = F.sum(part).over(user)
-        weighed = weighed.withColumn("weight", F.when(total > 0, part / total))
-    equal = F.lit(1.0) / F.count(F.lit(1)).over(user)
+        weighed = weighed.join(shares.select("user_id", "source_mood", "cnt"), ["user_id", "source_mood"], "left")
+    weighed = weighed.withColumns(
+        {"total": F.sum("cnt").over(user), "n_moods": F.count(F.lit(1)).over(user), "n_rows": F.sum("available").over(user)}
+    )
     quota = weighed.select(
         "user_id",
         "source_mood",
-        F.greatest(F.lit(1), F.floor(F.lit(n) * F.coalesce("weight", equal))).alias("quota"),
-        F.sum("available").over(user).alias("n_rows"),
+        F.expr(f"greatest(1, coalesce({n} * cnt div total, {n} div n_moods))").alias("quota"),
+        "n_rows",
     )
     marked = (
         recs.join(quota, ["user_id", "source_mood"])

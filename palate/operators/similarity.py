@@ -183,20 +183,3 @@ def nearest_tracks(
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "track_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-
-def lsh_neighbours(vectors: DataFrame, max_distance: float, bucket: float = 0.7, tables: int = 4) -> DataFrame:
-    """Approximate alternative for catalogs where recall below 1 is accepted: unit vectors in hash buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    frame = vectors.select("track_id", array_to_vector("vec").alias("raw"))
-    unit = Normalizer(inputCol="raw", outputCol="unit").transform(frame).select("track_id", "unit")
-    model = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=42
-    ).fit(unit)
-    pairs = model.approxSimilarityJoin(unit, unit, max_distance, distCol="dist")
-    return pairs.select(
-        F.col("datasetA.track_id").alias("query_id"),
-        F.col("datasetB.track_id").alias("track_id"),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, RANK_DIGITS).alias("sim"),
-    ).where(F.col("query_id") != F.col("track_id"))

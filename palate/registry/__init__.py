@@ -4,7 +4,7 @@ import importlib
 
 from palate.registry.core import QUERIES, SQL
 
-for _module in ("tables", "summaries"):
+for _module in ("tables", "summaries", "rankings", "matching"):
     importlib.import_module(f"palate.registry.{_module}")
 
 __all__ = ["QUERIES", "SQL"]
