@@ -25,7 +25,7 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
 
 
-def seed_neighbours(seeds: DataFrame, catalog: DataFrame, depth: int) -> DataFrame:
+def seed_neighbours(seeds: DataFrame, catalog: DataFrame, depth: int, n_catalog: int | None = None) -> DataFrame:
     """For each distinct seed track its `depth` nearest tracks, packed as one array per seed.
 
     A track that sits in many libraries is searched once, not once per library.
@@ -33,7 +33,7 @@ def seed_neighbours(seeds: DataFrame, catalog: DataFrame, depth: int) -> DataFra
     queries = seeds.join(catalog.select("track_id", "vec"), "track_id").select(
         F.col("track_id").alias("query_id"), "vec"
     )
-    found = nearest_tracks(queries, catalog, depth)
+    found = nearest_tracks(queries, catalog, depth, n_queries=n_catalog, n_catalog=n_catalog)
     near = F.sort_array(F.collect_list(F.struct("rank", "track_id", "sim"))).alias("near")
     return found.groupBy(F.col("query_id").alias("seed_id")).agg(near)
 
@@ -43,13 +43,16 @@ def seed_candidates(
 ) -> DataFrame:
     """Per (keys, track): the best score any seed gives it, after each seed named up to n unseen tracks.
 
-    Neighbour lists join as packed arrays and are exploded after the join. The exclusion, the cap per
-    seed and the merge are keyed by pairs, which spreads a listener with a huge library over all tasks.
+    `in_catalog` on the library rows is how many catalog tracks the listener owns: at most that many
+    neighbours can fall away, so only n + in_catalog of a list are unpacked. Lists join as packed
+    arrays. The exclusion, the cap per seed and the merge are keyed by pairs, which spreads a listener
+    with a huge library over all tasks.
     """
+    needed = F.least(F.size("near"), F.lit(n) + F.col("in_catalog")).cast("int")
     rows = (
-        library.select(*keys, F.col("track_id").alias("seed_id"))
+        library.select(*keys, F.col("track_id").alias("seed_id"), "in_catalog")
         .join(neighbours, "seed_id")
-        .select(*keys, "seed_id", F.inline("near"))
+        .select(*keys, "seed_id", F.inline(F.slice("near", F.lit(1), needed)))
         .drop("rank")
         .join(owned.select("user_id", "track_id"), ["user_id", "track_id"], "left_anti")
     )
@@ -76,7 +79,8 @@ def _shortlist(candidates: DataFrame, n: int, keys: list[str]) -> DataFrame:
     artist has its two rows within its first n+1 titles; fewer than n/2+1 artists are full, so a title
     is taken within its first n/2+1 artists. Each step is keyed more finely than by listener.
     """
-    thin = candidates
+    # One placement serves the first two steps.
+    thin = candidates.repartition(*keys, "_artist")
     for part, most in [(["_artist", "_title"], 1), (["_artist"], n + 1), (["_title"], n // 2 + 1), ([], greedy_window(n))]:
         thin = thin.withColumn("_k", F.row_number().over(_best(*keys, *part))).where(F.col("_k") <= most)
     return thin.drop("_k")
@@ -90,13 +94,11 @@ def diversify(candidates: DataFrame, n: int, keys: list[str]) -> DataFrame:
     """
     named = candidates.withColumns({"_artist": F.lower("artists"), "_title": F.lower("track_name")})
     raw = named.withColumn("_k", F.row_number().over(_best(*keys))).where(F.col("_k") <= 2 * n).drop("_k")
-    both = _shortlist(named, n, keys).withColumn("_raw", F.lit(False)).unionByName(
-        raw.withColumn("_raw", F.lit(True))
-    )
     payload = [c for c in candidates.columns if c not in keys and c not in ("sim", "track_id")]
     entry = F.struct((-F.col("sim")).alias("neg"), "track_id", "_artist", "_title", *payload)
-    gather = lambda flag: F.sort_array(F.collect_list(F.when(F.col("_raw") == flag, entry)))
-    lists = both.groupBy(*keys).agg(gather(False).alias("short"), gather(True).alias("raw"))
+    # Both sides are already placed by key when they are gathered and joined.
+    gather = lambda df, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(name))
+    lists = gather(_shortlist(named, n, keys), "short").join(gather(raw, "raw"), keys)
 
     def step(acc, x):
         same_artist = F.size(F.filter(acc, lambda a: a["_artist"] == x["_artist"]))

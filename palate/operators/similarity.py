@@ -159,7 +159,8 @@ def nearest_tracks(
             .select(
                 cell,
                 "query_id",
-                F.lit(None).cast("array<double>").alias("vec"),
+                # Empty, not NULL: a run of NULL lists is slow to hand over in Arrow batches.
+                F.array().cast("array<double>").alias("vec"),
                 F.col("track_id").alias("masked_id"),
             )
         )

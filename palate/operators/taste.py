@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,24 +150,22 @@ def style_summary(library: DataFrame) -> DataFrame:
     return means.withColumn("style", F.array_join(F.array_compact(F.array(*labels)), ", "))
 
 
-def profile_vectors(library: DataFrame, embedded: DataFrame, dim: int, minimum: int = 3) -> DataFrame:
+def profile_vectors(library: DataFrame, embedded: DataFrame, minimum: int = 3) -> DataFrame:
     """Weighted mean vector of every listener with enough usable tracks.
 
-    One sum per dimension, so the aggregation combines on the map side and no vector is exploded or
-    collected, however large a library is.
+    The vector mean is one aggregate with map-side combining: no vector is exploded or collected,
+    however large a library is.
     """
-    weighted = embedded.select("track_id", "vec", track_weight().alias("w"))
-    sums = [F.sum(F.col("w") * F.col("vec")[i]).alias(f"s{i}") for i in range(dim)]
+    weighted = embedded.select("track_id", array_to_vector("vec").alias("v"), track_weight().alias("w"))
     return (
         library.select("user_id", "track_id")
         .join(weighted, "track_id")
         .groupBy("user_id")
-        .agg(F.count(F.lit(1)).alias("usable_tracks"), F.sum("w").alias("total_weight"), *sums)
-        .where(F.col("usable_tracks") >= minimum)
-        .select(
-            "user_id",
-            "usable_tracks",
-            "total_weight",
-            F.array(*[F.col(f"s{i}") / F.col("total_weight") for i in range(dim)]).alias("vec"),
+        .agg(
+            F.count(F.lit(1)).alias("usable_tracks"),
+            F.sum("w").alias("total_weight"),
+            Summarizer.mean(F.col("v"), F.col("w")).alias("mean"),
         )
+        .where(F.col("usable_tracks") >= minimum)
+        .select("user_id", "usable_tracks", "total_weight", vector_to_array("mean").alias("vec"))
     )

@@ -38,12 +38,17 @@ ENERGY_PREFERENCES = {
 
 @dataclass
 class Inputs:
-    """library(user_id, track_id, ...), tracks (catalog with features), catalog (tracks with `vec`)."""
+    """library(user_id, track_id, ...), tracks (catalog with features), catalog (tracks with `vec`).
+
+    The row counts are upper bounds, from table footers for instance; they size the similarity grid.
+    Without them the tables are staged and counted.
+    """
 
     library: DataFrame
     tracks: DataFrame
     catalog: DataFrame
-    dim: int = 64
+    n_listeners: int | None = None
+    n_catalog: int | None = None
 
     def __post_init__(self):
         self.library = standardize_columns(self.library)
@@ -51,12 +56,12 @@ class Inputs:
 
 
 def eligible_library(inputs: Inputs, minimum: int = MIN_LIBRARY) -> DataFrame:
-    """Library rows with complete features and a vector, of listeners who have enough of them."""
+    """Library rows with complete features and a vector, of listeners who have enough of them; `in_catalog` counts."""
     usable = inputs.library.select("user_id", "track_id").join(
         inputs.catalog.select("track_id", *_features(inputs)), "track_id"
     )
-    enough = usable.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= minimum)
-    return usable.join(enough.select("user_id"), "user_id", "left_semi")
+    owns = usable.groupBy("user_id").agg(F.count(F.lit(1)).alias("in_catalog"))
+    return usable.join(owns.where(F.col("in_catalog") >= minimum), "user_id")
 
 
 def _features(inputs: Inputs) -> list[str]:
@@ -65,18 +70,20 @@ def _features(inputs: Inputs) -> list[str]:
 
 def profile_top(inputs: Inputs, k: int, library: DataFrame | None = None) -> DataFrame:
     """The k unseen tracks nearest to each listener's weighted mean vector."""
-    profiles = profile_vectors(library if library is not None else inputs.library, inputs.catalog, inputs.dim)
+    profiles = profile_vectors(library if library is not None else inputs.library, inputs.catalog)
     found = nearest_tracks(
         profiles.select(F.col("user_id").alias("query_id"), "vec"),
         inputs.catalog,
         k,
-        exclude=_owned_in_catalog(inputs).withColumnRenamed("user_id", "query_id"),
+        exclude=_owned(inputs).withColumnRenamed("user_id", "query_id"),
+        n_queries=inputs.n_listeners,
+        n_catalog=inputs.n_catalog,
     )
     return found.withColumnRenamed("query_id", "user_id")
 
 
-def _owned_in_catalog(inputs: Inputs) -> DataFrame:
-    return inputs.library.select("user_id", "track_id").distinct()
+def _owned(inputs: Inputs) -> DataFrame:
+    return inputs.library.select("user_id", "track_id")
 
 
 def _named(recs: DataFrame, inputs: Inputs) -> DataFrame:
@@ -90,12 +97,17 @@ def _with_source(recs: DataFrame, inputs: Inputs) -> DataFrame:
     return recs.join(source, "seed_id", "left")
 
 
+def _seeds(inputs: Inputs, tracks: DataFrame) -> DataFrame:
+    """Those of the tracks that sit in some library."""
+    return tracks.select("track_id").join(inputs.library.select("track_id"), "track_id", "left_semi")
+
+
 def similar_to_seeds(inputs: Inputs, n: int) -> DataFrame:
     """Per listener: unseen tracks near any of their tracks, diversified to n."""
-    rows = stage(eligible_library(inputs).select("user_id", "track_id"), "eligible")
-    near = seed_neighbours(rows.select("track_id").distinct(), inputs.catalog, OVERFETCH * n)
-    candidates = seed_candidates(rows, near, _owned_in_catalog(inputs), n, ["user_id"])
-    listed = diversify(stage(_named(candidates, inputs), "candidates"), n, ["user_id"])
+    near = seed_neighbours(_seeds(inputs, inputs.catalog), inputs.catalog, OVERFETCH * n, inputs.n_catalog)
+    rows = eligible_library(inputs)
+    candidates = seed_candidates(rows, near, _owned(inputs), n, ["user_id"])
+    listed = diversify(_named(candidates, inputs), n, ["user_id"])
     return _with_source(listed, inputs)
 
 
@@ -124,12 +136,13 @@ def _spread_profile(inputs: Inputs, n: int, diversity: float, seed: int | None,
 
 def mood_lists(inputs: Inputs, moods: list[str], per_mood: int) -> DataFrame:
     """One diversified list per (listener, requested mood), all moods in one pass."""
-    rows = with_mood(eligible_library(inputs)).where(F.col("mood").isin(moods)).select("user_id", "mood", "track_id")
-    rows = stage(rows, "mood_rows")
-    near = seed_neighbours(rows.select("track_id").distinct(), inputs.catalog, OVERFETCH * per_mood)
+    wanted = F.col("mood").isin(moods)
+    seeds = _seeds(inputs, with_mood(inputs.catalog).where(wanted))
+    near = seed_neighbours(seeds, inputs.catalog, OVERFETCH * per_mood, inputs.n_catalog)
+    rows = with_mood(eligible_library(inputs)).where(wanted)
     keys = ["user_id", "mood"]
-    candidates = seed_candidates(rows, near, _owned_in_catalog(inputs), per_mood, keys)
-    return diversify(stage(_named(candidates, inputs), "candidates"), per_mood, keys)
+    candidates = seed_candidates(rows, near, _owned(inputs), per_mood, keys)
+    return diversify(_named(candidates, inputs), per_mood, keys)
 
 
 def recommend_by_mood(
@@ -147,7 +160,7 @@ def recommend_by_mood(
     order = F.coalesce(*[F.when(F.col("mood") == m, F.lit(i)) for i, m in enumerate(moods)])
     lists = mood_lists(inputs, moods, n // len(moods) + EXTRA_PER_MOOD)
     merged = merge_moods(lists.drop("rank").withColumn("mood_order", order).withColumnRenamed("mood", "source_mood"))
-    merged = prefer_energy(stage(merged, "merged"), inputs.tracks, energy_preference, active=False)
+    merged = prefer_energy(merged, inputs.tracks, energy_preference, active=False)
     shares = None
     if weigh_by_taste:
         moody = with_mood(inputs.library.select("user_id", "track_id").join(inputs.tracks, "track_id"))
@@ -182,9 +195,10 @@ def smart_mix(inputs: Inputs, curated: DataFrame, n: int = 20) -> DataFrame:
     return mix_sources(near.select(*cols).unionByName(out.select(*cols)), n)
 
 
-def held_out_check(catalog: DataFrame, test_ids: DataFrame, n: int = 10) -> DataFrame:
+def held_out_check(catalog: DataFrame, test_ids: DataFrame, n: int = 10, n_catalog: int | None = None) -> DataFrame:
     """Every held-out track as a listener who owns just that track."""
     queries = catalog.join(test_ids.select("track_id"), "track_id", "left_semi")
     own = queries.select(F.col("track_id").alias("query_id"), "track_id")
-    return nearest_tracks(queries.select(F.col("track_id").alias("query_id"), "vec"), catalog, n, exclude=own)
+    vectors = queries.select(F.col("track_id").alias("query_id"), "vec")
+    return nearest_tracks(vectors, catalog, n, exclude=own, n_queries=n_catalog, n_catalog=n_catalog)
 

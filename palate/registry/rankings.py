@@ -26,7 +26,13 @@ PER_MOOD = N // len(MOODS) + recommend.EXTRA_PER_MOOD
 
 
 def inputs(spark, d) -> recommend.Inputs:
-    return recommend.Inputs(B.owned(spark, d), B.tracks(spark, d), stage(B.embedded_catalog(spark, d), "embedded"))
+    return recommend.Inputs(
+        B.owned(spark, d),
+        B.tracks(spark, d),
+        B.embedded_catalog(spark, d),
+        n_listeners=B.table(spark, d, "customer").count(),
+        n_catalog=B.table(spark, d, "embeddings").count(),
+    )
 
 
 # ---- similarity and top-k
@@ -37,8 +43,9 @@ def inputs(spark, d) -> recommend.Inputs:
     views("seed_ranked") + "SELECT seed_id, track_id, sim, rk::INTEGER AS rank FROM seed_ranked WHERE rk <= 10",
 )
 def j8(spark, d):
-    catalog = stage(B.embedded_catalog(spark, d).select("track_id", "vec"), "embedded")
-    found = nearest_tracks(catalog.withColumnRenamed("track_id", "query_id"), catalog, 10)
+    i = inputs(spark, d)
+    queries = i.catalog.select(F.col("track_id").alias("query_id"), "vec")
+    found = nearest_tracks(queries, i.catalog, 10, n_queries=i.n_catalog, n_catalog=i.n_catalog)
     return found.withColumnRenamed("query_id", "seed_id")
 
 
@@ -87,8 +94,8 @@ W2_VIEWS = candidates_sql("usable", "user_id", N)
 )
 def w2_candidates(spark, d):
     i = inputs(spark, d)
-    rows = stage(recommend.eligible_library(i).select("user_id", "track_id"), "eligible")
-    near = R.seed_neighbours(rows.select("track_id").distinct(), i.catalog, R.OVERFETCH * N)
+    rows = recommend.eligible_library(i)
+    near = R.seed_neighbours(i.catalog.select("track_id"), i.catalog, R.OVERFETCH * N, i.n_catalog)
     return R.seed_candidates(rows, near, i.library, N, ["user_id"])
 
 
@@ -120,7 +127,7 @@ def w4(spark, d):
     """The listener's nearest 5n unseen tracks, walked down to n."""
     i = inputs(spark, d)
     near = recommend.profile_top(i, R.OVERFETCH * TOP).drop("rank")
-    named = stage(near.join(i.tracks.select("track_id", "track_name", "artists"), "track_id"), "unseen")
+    named = near.join(i.tracks.select("track_id", "track_name", "artists"), "track_id")
     return R.diversify(named, TOP, ["user_id"]).select("user_id", "rank", "track_id", "sim")
 
 
@@ -244,7 +251,7 @@ def p10(spark, d):
 def m6(spark, d):
     i = inputs(spark, d)
     test = i.catalog.where(C.split_name(F.col("track_id") % 100) == "test").select("track_id")
-    return recommend.held_out_check(i.catalog, test)
+    return recommend.held_out_check(i.catalog, test, n_catalog=i.n_catalog)
 
 
 # ---- keep-first, caps, discovery
@@ -598,7 +605,7 @@ CONSISTENCY = {
 def genre_recs(spark, d) -> DataFrame:
     """Every embedded track as a one-track listener of its genre, with 15 recommendations."""
     i = inputs(spark, d)
-    found = recommend.held_out_check(i.catalog, i.catalog.select("track_id"), 15).withColumnRenamed("query_id", "seed_id")
+    found = recommend.held_out_check(i.catalog, i.catalog.select("track_id"), 15, i.n_catalog).withColumnRenamed("query_id", "seed_id")
     genre = i.catalog.select(F.col("track_id").alias("seed_id"), E.genre_name(F.col("label") % 8).alias("genre"))
     return found.join(genre, "seed_id").join(i.catalog.select("track_id", "energy", "danceability"), "track_id")
 

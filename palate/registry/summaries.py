@@ -127,7 +127,7 @@ def a5(spark, d):
     + "SELECT user_id, pos::INTEGER AS pos, round(vec[pos], 9) AS value FROM profile, (SELECT unnest(range(1, 65)) AS pos)",
 )
 def a6(spark, d):
-    vectors = taste.profile_vectors(B.owned(spark, d), B.embedded_catalog(spark, d), 64)
+    vectors = taste.profile_vectors(B.owned(spark, d), B.embedded_catalog(spark, d))
     return vectors.select("user_id", F.posexplode("vec").alias("p", "value")).select(
         "user_id", (F.col("p") + 1).alias("pos"), F.round("value", DIGITS).alias("value")
     )
