@@ -187,7 +187,7 @@ def resolve_titles(wanted: DataFrame, foreign: DataFrame) -> DataFrame:
         return df.select("track_id", "foreign_id", F.lit(priority).alias("priority"), F.lit(100.0).alias("score"))
 
     codes = foreign.where("isrc IS NOT NULL").groupBy("isrc").agg(F.min("foreign_id").alias("foreign_id"))
-    settled = stage(result(wanted.where("isrc IS NOT NULL").join(codes, "isrc"), ISRC), "resolved")
+    settled = result(wanted.where("isrc IS NOT NULL").join(codes, "isrc"), ISRC)
     titled, known = wanted.where("norm <> ''"), foreign.where("norm <> ''")
 
     w_artists, f_artists = artist_tokens(titled, "track_id"), artist_tokens(known, "foreign_id")
@@ -203,14 +203,14 @@ def resolve_titles(wanted: DataFrame, foreign: DataFrame) -> DataFrame:
         first = offered.groupBy("block", "norm").agg(F.min("foreign_id").alias("foreign_id"))
         todo = _by_block(titled.join(settled, "track_id", "left_anti"), "track_id", w_blocks, w_names)
         same = todo.join(first, ["block", "norm"]).groupBy("track_id").agg(F.min("foreign_id").alias("foreign_id"))
-        settled = stage(settled.unionByName(result(same, exact)), "resolved")
-        rest = stage(todo.join(settled, "track_id", "left_anti"), "todo")
+        rest = todo.join(same, "track_id", "left_anti")
         asked = _distinct_titles(rest, "track_id", "wanted_id")
         fuzzy = best_in_block(asked, _distinct_titles(offered, "foreign_id", "foreign_id"), is_album)
         same_title = ["block", "norm", "bare", "artist_names"]
         hits = rest.join(asked, same_title).select("track_id", "block", "wanted_id").join(fuzzy, ["block", "wanted_id"])
         chosen = keep_first(hits, ["track_id"], [F.col("priority"), F.desc("score"), F.col("foreign_id")])
-        settled = stage(settled.unionByName(chosen.select(*settled.columns)), "resolved")
+        found = result(same, exact).unionByName(chosen.select(*settled.columns))
+        settled = stage(settled.unionByName(found), "resolved")
     return settled
 
 

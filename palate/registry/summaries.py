@@ -20,6 +20,7 @@ from palate.plans.lifecycle import whole_days
 from palate.registry.core import FEATURE_LIST, MOOD_SQL, WEIGHT_SQL, cosine_sql, query, views
 from palate.registry.tables import rich
 from palate.schema import MODEL_INPUTS
+from palate.session import fill_slots
 from palate.sources import bindings as B
 
 DIGITS = 9
@@ -309,7 +310,7 @@ def a14(spark, d):
          FROM counts) WHERE place <= 10""",
 )
 def a20(spark, d):
-    return D.keywords(B.table(spark, d, "documents"), ["lang"], ["text"], 10)
+    return D.keywords(fill_slots(B.table(spark, d, "documents").select("lang", "text")), ["lang"], ["text"], 10)
 
 
 @query(

@@ -52,3 +52,12 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
 
 def task_slots(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, 1)
+
+
+def fill_slots(df: DataFrame) -> DataFrame:
+    """Spread a scan of fewer tasks than the cluster has slots, for work that is heavy per row.
+
+    A table of many files scans in many tasks and is left alone.
+    """
+    slots = task_slots(df.sparkSession)
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

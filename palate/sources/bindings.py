@@ -5,8 +5,14 @@ Every derived column is modular integer arithmetic, so another SQL engine comput
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from palate.operators.quality import complete
+from palate.session import new_path
 
 # Multiplier and offset of each derived feature in 0-1.
 FEATURE_HASH = {
@@ -45,8 +51,31 @@ def _modular(mult: int, plus: int, modulus: int, scale: float) -> Column:
     return ((F.col("p_partkey") * mult + plus) % modulus) / F.lit(scale)
 
 
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The engine's own tables: derived once per application, then read like any other table.
+
+    Catalog, library and embedded catalog are tables in production too. Reading them keeps every later
+    plan small and lets filters and column lists reach their scans.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = new_path(spark, name)
+        df = build(spark, sf_dir)
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalog, some rows of it incomplete."""
+    return stored(spark, sf_dir, "tracks", derive_tracks)
+
+
+def derive_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     cols = {name: _modular(p, c, 1000, 1000.0) for name, (p, c) in FEATURE_HASH.items()}
     cols["acousticness"] = F.when(key % NO_ACOUSTICNESS_EVERY != 0, cols["acousticness"])
@@ -86,7 +115,12 @@ def landed_library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (user, track): the earliest addition wins.
+    """One row per (user, track): the earliest addition wins."""
+    return stored(spark, sf_dir, "library", derive_library)
+
+
+def derive_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Library rows from what landed.
 
     The winner is a map-side combined minimum, so repeated additions never meet in one sort.
     """
@@ -100,7 +134,7 @@ def library(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def owned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landed_library(spark, sf_dir).select("user_id", "track_id").distinct()
+    return library(spark, sf_dir).select("user_id", "track_id")
 
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +145,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete tracks that have an embedding."""
-    from palate.operators.quality import complete
+    return stored(spark, sf_dir, "embedded", derive_embedded)
+
 
+def derive_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complete(tracks(spark, sf_dir)).join(embeddings(spark, sf_dir), "track_id")
 
 
