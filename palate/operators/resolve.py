@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palate.functions.text import (
@@ -28,21 +28,26 @@ ARTIST_EXACT, ARTIST_FUZZY, ARTIST_SOFT, ARTIST_SOFT_BARE = 6, 7, 8, 9
 BLOCK_ROWS = 2048
 
 
-def artist_tokens(df: DataFrame, key: str, with_aliases: bool = True) -> DataFrame:
-    """(key, artist): every credited artist, normalised, plus the known other spellings."""
-    named = df.select(key, F.explode(artist_list(F.lower("artists"))).alias("raw"))
-    if with_aliases:
-        entries = [F.lit(x) for name, other in ARTIST_ALIASES.items() for x in (name, other[0])]
-        alias = F.create_map(*entries)[F.col("raw")]
-        named = named.select(key, F.explode(F.array_compact(F.array(F.col("raw"), alias))).alias("raw"))
-    return (
-        named.select(key, normalize_artist(F.col("raw")).alias("artist")).where(F.col("artist") != "").distinct()
-    )
+def artist_names(artists: Column) -> Column:
+    """Every credited artist, normalised, plus the known other spellings, without repeats."""
+    entries = [F.lit(x) for name, other in ARTIST_ALIASES.items() for x in (name, other[0])]
+    spellings = lambda raw: F.array_compact(F.array(raw, F.create_map(*entries)[raw]))
+    every = F.flatten(F.transform(artist_list(F.lower(artists)), spellings))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(every, normalize_artist), lambda a: a != "")))
+
+
+def artist_tokens(df: DataFrame, key: str) -> DataFrame:
+    """(key, artist): one row per name of each credited artist."""
+    return df.select(key, F.explode(artist_names(F.col("artists"))).alias("artist"))
 
 
 def with_titles(df: DataFrame) -> DataFrame:
     return df.withColumns(
-        {"norm": normalize_title(F.col("title")), "bare": normalize_title(F.col("title"), strip_parentheses=True)}
+        {
+            "norm": normalize_title(F.col("title")),
+            "bare": normalize_title(F.col("title"), strip_parentheses=True),
+            "artist_names": artist_names(F.col("artists")),
+        }
     )
 
 
@@ -169,8 +174,9 @@ def _distinct_titles(df: DataFrame, id_col: str, out: str) -> DataFrame:
     return df.groupBy("block", "norm", "bare", "artist_names").agg(F.min(id_col).alias(out))
 
 
-def _by_block(titles: DataFrame, key: str, blocks: DataFrame, names: DataFrame) -> DataFrame:
-    return titles.join(blocks, key).join(names, key).select("block", key, "norm", "bare", "artist_names")
+def _by_block(df: DataFrame, key: str, is_album: bool) -> DataFrame:
+    block = F.lower(F.nullif("album", F.lit(""))) if is_album else F.explode("artist_names")
+    return df.select(block.alias("block"), key, "norm", "bare", "artist_names").where(F.col("block").isNotNull())
 
 
 def resolve_titles(wanted: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -190,18 +196,10 @@ def resolve_titles(wanted: DataFrame, foreign: DataFrame) -> DataFrame:
     settled = result(wanted.where("isrc IS NOT NULL").join(codes, "isrc"), ISRC)
     titled, known = wanted.where("norm <> ''"), foreign.where("norm <> ''")
 
-    w_artists, f_artists = artist_tokens(titled, "track_id"), artist_tokens(known, "foreign_id")
-    listed = lambda df, key: df.groupBy(key).agg(F.array_sort(F.collect_set("artist")).alias("artist_names"))
-    w_names, f_names = listed(w_artists, "track_id"), listed(f_artists, "foreign_id")
-    album = lambda df, key: df.where("album IS NOT NULL AND album <> ''").select(key, F.lower("album").alias("block"))
-    passes = [
-        (True, album(titled, "track_id"), album(known, "foreign_id"), ALBUM_EXACT),
-        (False, w_artists.withColumnRenamed("artist", "block"), f_artists.withColumnRenamed("artist", "block"), ARTIST_EXACT),
-    ]
-    for is_album, w_blocks, f_blocks, exact in passes:
-        offered = _by_block(known, "foreign_id", f_blocks, f_names)
+    for is_album, exact in ((True, ALBUM_EXACT), (False, ARTIST_EXACT)):
+        offered = _by_block(known, "foreign_id", is_album)
         first = offered.groupBy("block", "norm").agg(F.min("foreign_id").alias("foreign_id"))
-        todo = _by_block(titled.join(settled, "track_id", "left_anti"), "track_id", w_blocks, w_names)
+        todo = _by_block(titled.join(settled, "track_id", "left_anti"), "track_id", is_album)
         same = todo.join(first, ["block", "norm"]).groupBy("track_id").agg(F.min("foreign_id").alias("foreign_id"))
         rest = todo.join(same, "track_id", "left_anti")
         asked = _distinct_titles(rest, "track_id", "wanted_id")
