@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from palate.functions.vectors import RANK_DIGITS
 from palate.session import stage, task_slots
 
-QUERY_ROWS = 8192
+QUERY_ROWS = 65536
 CATALOG_ROWS = 65536
 SLAB = 1 << 22
 
