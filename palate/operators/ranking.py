@@ -33,9 +33,8 @@ def seed_neighbours(seeds: DataFrame, catalog: DataFrame, depth: int, n_catalog:
     queries = seeds.join(catalog.select("track_id", "vec"), "track_id").select(
         F.col("track_id").alias("query_id"), "vec"
     )
-    found = nearest_tracks(queries, catalog, depth, n_queries=n_catalog, n_catalog=n_catalog)
-    near = F.sort_array(F.collect_list(F.struct("rank", "track_id", "sim"))).alias("near")
-    return found.groupBy(F.col("query_id").alias("seed_id")).agg(near)
+    found = nearest_tracks(queries, catalog, depth, n_queries=n_catalog, n_catalog=n_catalog, packed=True)
+    return found.withColumnRenamed("query_id", "seed_id")
 
 
 def seed_candidates(

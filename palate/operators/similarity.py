@@ -22,6 +22,7 @@ from palate.session import stage, task_slots
 QUERY_ROWS = 65536
 CATALOG_ROWS = 65536
 SLAB = 1 << 22
+NEAR = "array<struct<rank: int, track_id: bigint, sim: double>>"
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def _best(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows[top], cols[top], rank[top] + 1
 
 
-def _cell_kernel(k: int):
+def _cell_kernel(k: int, packed: bool = False):
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         masked = pa.compute.is_valid(left.column("masked_id"))
         queries, owned = left.filter(pa.compute.invert(masked)), left.filter(masked)
@@ -106,14 +107,18 @@ def _cell_kernel(k: int):
                 out_s.append(sims[rows, cols])
                 out_r.append(rank)
         joined = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table(
-            {
-                "query_id": pa.array(joined(out_q, "int64"), pa.int64()),
-                "track_id": pa.array(joined(out_t, "int64"), pa.int64()),
-                "sim": pa.array(joined(out_s, "float64"), pa.float64()),
-                "rank": pa.array(joined(out_r, "int32"), pa.int32()),
-            }
-        )
+        query_id, rank = joined(out_q, "int64"), joined(out_r, "int32")
+        found = {
+            "rank": pa.array(rank, pa.int32()),
+            "track_id": pa.array(joined(out_t, "int64"), pa.int64()),
+            "sim": pa.array(joined(out_s, "float64"), pa.float64()),
+        }
+        if not packed:
+            return pa.table({"query_id": pa.array(query_id, pa.int64()), **found})
+        first = np.flatnonzero(rank == 1)
+        entries = pa.StructArray.from_arrays(list(found.values()), list(found))
+        near = pa.ListArray.from_arrays(pa.array(np.append(first, len(rank)), pa.int32()), entries)
+        return pa.table({"query_id": pa.array(query_id[first], pa.int64()), "near": near})
 
     return kernel
 
@@ -125,12 +130,14 @@ def nearest_tracks(
     exclude: DataFrame | None = None,
     n_queries: int | None = None,
     n_catalog: int | None = None,
+    packed: bool = False,
 ) -> DataFrame:
     """The k most similar catalog tracks of every query vector.
 
     queries(query_id, vec), catalog(track_id, vec), exclude(query_id, track_id); all keys bigint and
     unique. The counts only size the grid: any upper bound does. Result: query_id, track_id, sim
-    (9 digits), rank 1..k; equal scores rank by track_id.
+    (9 digits), rank 1..k; equal scores rank by track_id. Packed: query_id, near, the same rows as one
+    array of (rank, track_id, sim) per query.
     """
     spark = queries.sparkSession
     if n_queries is None:
@@ -173,14 +180,19 @@ def nearest_tracks(
     # An explicit partition count keeps adaptive coalescing from packing the cells into few tasks.
     parts = min(grid.cells, 8 * task_slots(spark)) if grid.cells > task_slots(spark) else grid.cells
     parts = max(parts, 1)
+    one_group = grid.catalog_groups == 1
+    rows, lists = "query_id bigint, rank int, track_id bigint, sim double", f"query_id bigint, near {NEAR}"
     found = (
         left.repartition(parts, "cell")
         .groupBy("cell")
         .cogroup(right.repartition(parts, "cell").groupBy("cell"))
-        .applyInArrow(_cell_kernel(k), "query_id bigint, track_id bigint, sim double, rank int")
+        .applyInArrow(_cell_kernel(k, packed and one_group), lists if packed and one_group else rows)
     )
-    if grid.catalog_groups == 1:
+    if one_group:
         return found
     best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "track_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
+    merged = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    if not packed:
+        return merged
+    near = F.sort_array(F.collect_list(F.struct("rank", "track_id", "sim"))).alias("near")
+    return merged.groupBy("query_id").agg(near)

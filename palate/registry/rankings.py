@@ -326,7 +326,7 @@ def w13(spark, d):
 )
 def p2(spark, d):
     have = Q.complete(B.tracks(spark, d)).where(F.col("track_id") % 2 == 0)
-    return C.expand(have, found_tracks(spark, d), B.tracks(spark, d), 300)
+    return ingest.expand_catalog(have, found_tracks(spark, d), B.tracks(spark, d), target=have.count() + 300)
 
 
 RELATED = {

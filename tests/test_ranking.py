@@ -8,6 +8,7 @@ from palate.operators import ranking as R
 from palate.operators import similarity as S
 from palate.operators.ranking import diversify, merge_moods, mood_quotas, spread
 from palate.operators.taste import listening_patterns, mood_counts
+from palate.plans import recommend
 from palate.plans.lifecycle import export_batches, retrain_decision
 
 
@@ -49,6 +50,29 @@ def test_nearest_tracks_is_exact(spark, monkeypatch, query_rows, catalog_rows):
     )
     got = {(r["query_id"], r["track_id"], r["rank"], r["sim"] + 0.0) for r in found.collect()}
     assert got == brute_top(queries, catalog, 7, banned)
+    packed = S.nearest_tracks(as_frame(queries, "query_id"), as_frame(catalog, "track_id"), 7, n_queries=40, n_catalog=120, packed=True)
+    opened = {(r["query_id"], n["track_id"], n["rank"], n["sim"] + 0.0) for r in packed.collect() for n in r["near"]}
+    assert opened == brute_top(queries, catalog, 7)
+
+
+def test_listeners_without_seed_matches_fall_back_to_the_mean_vector(spark):
+    """One listener owns everything near its tracks; its list comes from the mean vector."""
+    near = [(t, [1.0, t / 1000, 0.0]) for t in range(8)]
+    far = [(t, [0.0, 1.0, t / 1000]) for t in range(8, 20)]
+    vectors = spark.createDataFrame(near + far, "track_id long, vec array<double>")
+    tracks = spark.createDataFrame(
+        [(t, f"title {t}", f"artist {t}", 50, 0.5, 0.5, 0.5) for t in range(20)],
+        "track_id long, track_name string, artists string, popularity int, energy double, danceability double, valence double",
+    )
+    library = spark.createDataFrame(
+        [(1, t) for t in range(8)] + [(2, t) for t in (8, 9, 10)] + [(3, 1)], "user_id long, track_id long"
+    )
+    inputs = recommend.Inputs(library, tracks, tracks.join(vectors, "track_id"), n_listeners=3, n_catalog=20)
+    got = recommend.recommend(inputs, n=1).collect()
+    assert {r["user_id"] for r in got} == {1, 2}
+    lists = {r["user_id"]: r for r in got}
+    assert lists[1]["source_track"] is None and lists[1]["track_id"] >= 8
+    assert lists[2]["source_track"] == "title 10" and lists[2]["track_id"] == 11
 
 
 def test_kernel_plan_has_no_cross_join(spark):
