@@ -168,10 +168,4 @@ def _offer(users: DataFrame, pool: DataFrame, order: str) -> DataFrame:
     packed = pool.agg(
         F.sort_array(F.collect_list(F.struct(order, *[c for c in ("track_id", "track_name", "artists", "popularity")]))).alias("offer")
     )
-    one = F.lit(1).alias("_one")
-    return (
-        users.select("*", one)
-        .join(F.broadcast(packed.select("offer", one)), "_one")
-        .drop("_one")
-        .select("user_id", "lo", "hi", F.inline("offer"))
-    )
+    return users.select("user_id", "lo", "hi", F.inline(packed.scalar()))

@@ -152,14 +152,13 @@ def feature_errors(df: DataFrame, names: list[str]) -> DataFrame:
 def histogram(df: DataFrame, value: Column, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins between the smallest and largest value; the last bin includes its end."""
     valued = df.select(value.alias("v"))
-    span = valued.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("_one", F.lit(1))
+    span = valued.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("span")).scalar()
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
         F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
     )
     return (
-        valued.withColumn("_one", F.lit(1))
-        .join(F.broadcast(span), "_one")
+        valued.select("v", span["lo"].alias("lo"), span["hi"].alias("hi"))
         .groupBy(at.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -189,20 +188,17 @@ def embedding_metrics(sample: DataFrame) -> DataFrame:
     lowest = nearest_tracks(opposite, unit, 1).agg((-F.max("sim")).alias("min_similarity"))
     highest = nearest_tracks(queries, unit, 1).agg(F.max("sim").alias("max_similarity"))
     counted = sample.agg(F.count(F.lit(1)).alias("n"))
-    out = totals
-    one = F.lit(1).alias("_one")
-    out = out.select("*", one)
-    for part in (lowest, highest, counted, embedding_norms(sample)):
-        out = out.join(F.broadcast(part.select("*", one)), "_one")
+    norms = embedding_norms(sample).select(F.struct("*").alias("norms")).scalar()
+    out = totals.withColumns({"n": counted.scalar(), "norms": norms, "lowest": lowest.scalar(), "highest": highest.scalar()})
     pairs = F.col("n") * F.col("n")
     mean = F.col("sum_sim") / pairs
     return out.select(
         mean.alias("mean_similarity"),
         F.sqrt(F.greatest(F.col("sum_sq") / pairs - mean * mean, F.lit(0.0))).alias("std_similarity"),
-        "min_similarity",
-        "max_similarity",
-        "embedding_norm_mean",
-        "embedding_norm_std",
+        F.col("lowest").alias("min_similarity"),
+        F.col("highest").alias("max_similarity"),
+        "norms.embedding_norm_mean",
+        "norms.embedding_norm_std",
     )
 
 

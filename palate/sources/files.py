@@ -89,12 +89,8 @@ class VersionedTable:
 
     def history(self) -> DataFrame:
         pointers = self.spark.read.schema(self.POINTER).parquet(f"{self.path}/pointer")
-        newest = pointers.agg(F.max_by("version", "published_at").alias("newest"))
-        one = F.lit(1).alias("_one")
-        marked = pointers.select("*", one).join(F.broadcast(newest.select("*", one)), "_one")
-        return marked.select(
-            "version", "n_rows", "published_at", (F.col("version") == F.col("newest")).alias("is_current")
-        )
+        newest = pointers.agg(F.max_by("version", "published_at")).scalar()
+        return pointers.select("version", "n_rows", "published_at", (F.col("version") == newest).alias("is_current"))
 
     def current(self) -> DataFrame:
         row = self.history().where("is_current").select("version").first()
