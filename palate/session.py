@@ -25,9 +25,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a scratch folder only where none is named (local runs)."""
+    """The shared folder the cluster names; a scratch folder only for a single-process master."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="palate-stage-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
