@@ -7,14 +7,18 @@ form a trie in the task that verifies them: walked in path order, a path resumes
 one before, with the overlap counted so far, and a subtree is cut where the overlap plus the remaining length is
 too small.
 
-Before that, two exact steps make the tree small. Equal sets are one entry. And a set with more than a quarter of its
+Before that, exact steps make the tree small. Equal sets are one entry. And a set with more than a quarter of its
 n-grams in no other document is similar to none: n-grams are counted in a fixed part of the hash space, the same for
-all documents, with repeats combined in the task that reads them.
+all documents, with repeats combined in the task that reads them; among the sets that stay, all n-grams are counted.
+What a set has in common with any other one is at most its n-grams that are not its own; and two sets, each
+divided by a third one, have at most the smaller of either part in common. That bounds a pair's similarity before it
+is walked.
 
 Nodes can hold a third of all documents, so no node lists its pairs. Each node tests its members against one pivot.
 Jaccard distance is a metric, so a member with a distance d to the pivot can only be linked to a failed member with a
 distance of at most d + 0.25: whoever is out of reach leaves the node, the others go to the next round with a
-failed member as pivot. What a few rounds don't settle is compared pair by pair.
+failed member as pivot; members that other links already connect to the pivot have not failed. What a few rounds
+don't settle is compared pair by pair, where links don't connect the pair already.
 
 Defined results: null, empty and blank texts have no n-grams (n_shingles 0) and are linked with nothing; texts under
 five words are one n-gram; equal rows are linked; repeated doc_ids with different texts give a row each; an empty
@@ -46,6 +50,7 @@ _OFFER = WHOLE * DEN // NUM + 1
 PER_BUCKET = 1 << 21
 PER_FLUSH = 1 << 21
 PIVOT_ROUNDS = 4
+SCREENS = 2
 
 _SIGNED = "id bigint, n long, digest binary, key bigint"
 
@@ -99,21 +104,28 @@ def _flush(sets: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "ids", "counts", "own", "shared"])
 
 
+def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    if "text" in batch.schema.names:
+        return text_sets(batch.column("text"))
+    return (np.frombuffer(p.as_py(), np.uint64) for p in batch.column("path"))
+
+
 _OFFERED = "bucket int, ids binary, counts binary, own binary, shared binary"
 
 
-def _offer(buckets: int):
-    limit = np.uint64(int(PART * 2**64))
+def _offer(buckets: int, part: float):
+    limit = int(part * 2**64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
         size = 0
         for batch in batches:
-            for members in text_sets(batch.column("text")):
+            for members in _sets(batch):
                 key = _digest(members)[:8]
                 if not len(members) or key in held:
                     continue
-                held[key] = members if len(members) <= _OFFER else members[: np.searchsorted(members, limit)]
+                whole = part >= 1 or len(members) <= _OFFER
+                held[key] = members if whole else members[: np.searchsorted(members, np.uint64(limit))]
                 size += len(held[key])
                 if size >= PER_FLUSH:
                     yield _flush(held, buckets)
@@ -142,6 +154,19 @@ def _count_alone(table: pa.Table) -> pa.Table:
     return pa.table({"key": names[who.astype(np.int64)], "alone": n.astype(np.int64)})
 
 
+def _alone(sets: DataFrame, total: int, part: float) -> DataFrame:
+    """(key, alone): how many counted n-grams of a set no other set has; sets without such have no row."""
+    buckets = max(int(total * part / PER_BUCKET) + 1, shuffle_width(sets.sparkSession))
+    offered = sets.mapInArrow(_offer(buckets, part), _OFFERED).repartition(buckets, "bucket")
+    counted = offered.groupBy("bucket").applyInArrow(_count_alone, "key bigint, alone bigint")
+    return counted.groupBy("key").agg(F.sum("alone").alias("alone"))
+
+
+def _staying(sets: DataFrame, alone: DataFrame) -> DataFrame:
+    joined = sets.join(alone, "key", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return joined.where(F.col("alone") * DEN <= F.col("n") * (DEN - NUM))
+
+
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets that stay, with their prefixes. A row whose id was kept for another text drops out."""
     for batch in batches:
@@ -149,14 +174,16 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, members in enumerate(text_sets(batch.column("text"))):
             if len(members) and _digest(members) == batch.column("digest")[i].as_py():
                 prefix = members[: len(members) - -(-NUM * len(members) // DEN) + 1]
-                rows.append((batch.column("node")[i].as_py(), len(members), prefix.view(np.int64), members.tobytes()))
-        columns = list(zip(*rows)) if rows else [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["node", "n", "prefix", "path"])
+                key = int.from_bytes(_digest(members)[:8], "little", signed=True)
+                rows.append((batch.column("node")[i].as_py(), key, len(members), prefix.view(np.int64), members.tobytes()))
+        columns = list(zip(*rows)) if rows else [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        names = ["node", "key", "n", "prefix", "path"]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
-def walk(probe: np.ndarray, paths: list[np.ndarray]) -> list[int]:
-    """Overlap of each path with the probe; -1 where the remaining length rules the path out.
+def walk(probe: np.ndarray, paths: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[int]:
+    """Overlap of each path with the probe; -1 where the remaining length rules out a similarity of num / den.
 
     The paths are one trie, walked in path order: a path resumes at the depth where it leaves the one before.
     """
@@ -164,7 +191,7 @@ def walk(probe: np.ndarray, paths: list[np.ndarray]) -> list[int]:
     overlap, last, hits = [-1] * len(paths), np.empty(0, np.uint64), np.zeros(1, np.int64)
     for i in order:
         path = paths[i]
-        need = -(-NUM * (len(path) + len(probe)) // (NUM + DEN))
+        need = -(-num * (len(path) + len(probe)) // (num + den))
         same = min(len(path), len(last))
         differs = np.flatnonzero(path[:same] != last[:same])
         depth = int(differs[0]) if len(differs) else same
@@ -185,69 +212,117 @@ def walk(probe: np.ndarray, paths: list[np.ndarray]) -> list[int]:
     return overlap
 
 
-_VERIFIED = "pivot bigint, node bigint, linked boolean, distance double"
+_VERIFIED = "pivot bigint, node bigint, linked boolean, distance double, overlap bigint"
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both paths, in the order of pivots. Distances of failed pairs are lower bounds."""
+    """Pairs with both paths. Whoever is over twice the allowed distance away gets that as a lower bound."""
+    far = 2 * (1 - NUM / DEN)
     for batch in batches:
         pivots, nodes = batch.column("pivot").to_numpy(), batch.column("node").to_numpy()
-        linked, distance = np.zeros(len(nodes), bool), np.ones(len(nodes))
+        linked, distance, overlap = np.zeros(len(nodes), bool), np.ones(len(nodes)), [None] * len(nodes)
         order = np.argsort(pivots, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(pivots[order])) + 1) if len(order) else []:
             probe = np.frombuffer(batch.column("probe")[int(group[0])].as_py(), np.uint64)
             paths = [np.frombuffer(batch.column("path")[int(i)].as_py(), np.uint64) for i in group]
-            for i, path, common in zip(group, paths, walk(probe, paths)):
+            for i, path, common in zip(group, paths, walk(probe, paths, 2 * NUM - DEN, DEN)):
                 if common < 0:
-                    distance[i] = 1 - NUM / DEN
+                    distance[i] = far
                     continue
-                union = len(path) + len(probe) - common
+                union, overlap[i] = len(path) + len(probe) - common, common
                 linked[i] = DEN * common >= NUM * union
                 distance[i] = 1 - common / union
         yield pa.RecordBatch.from_arrays(
-            [batch.column("pivot"), batch.column("node"), pa.array(linked), pa.array(distance)],
-            ["pivot", "node", "linked", "distance"],
+            [batch.column("pivot"), batch.column("node"), pa.array(linked), pa.array(distance), pa.array(overlap, pa.int64())],
+            ["pivot", "node", "linked", "distance", "overlap"],
         )
 
 
+# What a pair can have in common at most, and whether that is enough. ``inner`` and ``outer`` bound what a set can have
+# in common with others inside and outside of its last pivot.
+_MOST = "least(common, pivot_common, least(inner, pivot_inner) + least(outer, pivot_outer))"
+_ENOUGH = f"{_MOST} * {NUM + DEN} >= (n + pivot_n) * {NUM}"
+# The largest partner that a set can have, by what it can have in common; and the same for its two parts.
+_REACH = f"common * {NUM + DEN} / {NUM} - n"
+_INNER = f"inner * {NUM + DEN} / {NUM} - n"
+_OUTER = f"n - outer * {NUM + DEN} / {NUM}"
+_STATE = ["node", "n", "common", "inner", "outer", "open"]
+
+
 def _tested(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """(pivot, node, linked, distance) of distinct pairs; sizes too far apart are not walked."""
-    near = pairs.where(F.least("n", "pivot_n") * DEN >= F.greatest("n", "pivot_n") * NUM).select("pivot", "node").distinct()
+    """(pivot, node, linked, distance) of the distinct pairs that the bounds leave."""
+    near = pairs.where(_ENOUGH).select("pivot", "node").distinct()
     rows = near.join(paths.select("node", "path"), "node").join(paths.select(F.col("node").alias("pivot"), F.col("path").alias("probe")), "pivot")
     return stage(rows.mapInArrow(_verify, _VERIFIED), "tested")
 
 
-def _links(paths: DataFrame) -> DataFrame:
+def _with_parts(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The components of both ends, null where nothing is linked with them yet."""
+    for end in ("node", "pivot"):
+        pairs = pairs.join(part.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part")), end, "left")
+    return pairs
+
+
+def _connected():
+    return F.coalesce(F.col("node_part") == F.col("pivot_part"), F.lit(False))
+
+
+def _links(paths: DataFrame) -> DataFrame | None:
     """Edges (a, b) that connect whatever is linked."""
-    places = stage(paths.select("node", "n", F.explode("prefix").alias("gram"), F.lit(True).alias("open")), "places")
+    places = stage(
+        paths.withColumn("common", F.col("n") - F.col("alone"))
+        .withColumns({"inner": F.col("common"), "outer": F.col("common"), "open": F.lit(True)})
+        .select(*_STATE, F.explode("prefix").alias("gram")),
+        "places",
+    )
     found = None
+    # The pivot of a tree node is the open member with the smallest share of n-grams of its own.
+    order = F.struct((1 - F.col("common") / F.col("n")).alias("own"), *_STATE)
     for _ in range(PIVOT_ROUNDS):
-        # Members of a node of the tree; the pivot is the first one that has not been in reach of a pivot yet.
-        pivot = places.groupBy("gram").agg(
-            F.min(F.when(F.col("open"), F.struct("node", "n"))).alias("p"), F.count("*").alias("m")
-        ).where("m > 1 and p is not null").select("gram", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
+        pivot = (
+            places.groupBy("gram")
+            .agg(F.min(F.when(F.col("open"), order)).alias("p"), F.count("*").alias("m"))
+            .where("m > 1 and p is not null")
+            .select("gram", F.col("p.node").alias("pivot"), *[F.col(f"p.{c}").alias(f"pivot_{c}") for c in _STATE[1:]])
+        )
         members = stage(places.join(pivot, "gram").where("node <> pivot"), "members")
-        if not members.take(1):
+        if members.isEmpty():
             return found
         tested = _tested(members, paths)
         edges = tested.where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
         found = edges if found is None else found.unionByName(edges)
-        judged = members.join(tested, ["pivot", "node"], "left").withColumns(
+        part = components(found)
+        judged = _with_parts(members.join(tested, ["pivot", "node"], "left"), part).withColumns(
             {
-                "linked": F.coalesce("linked", F.lit(False)),
-                # Not walked: the sizes alone give a bound.
-                "distance": F.coalesce("distance", 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")),
+                "linked": F.coalesce("linked", F.lit(False)) | _connected(),
+                # Not walked: the bound on what they have in common gives one on the distance.
+                "distance": F.coalesce("distance", F.expr(f"1 - {_MOST} / (n + pivot_n - {_MOST})")),
+                "inner": F.coalesce("overlap", "common"),
+                "outer": F.col("common") - F.coalesce("overlap", F.lit(0)),
             }
         )
-        judged = stage(judged.select("gram", "node", "n", "open", "linked", "distance"), "judged")
-        reach = judged.where("open and not linked").groupBy("gram").agg((F.min("distance") - (1 - NUM / DEN) - 1e-9).alias("least"))
-        places = stage(
-            judged.join(reach, "gram").where("not linked or distance >= least").select("node", "n", "gram", (F.col("open") & ~F.col("linked")).alias("open")),
-            "places",
+        judged = judged.withColumn("open", F.col("open") & ~F.col("linked"))
+        judged = stage(judged.select("gram", *_STATE, "distance"), "judged")
+        when_open = lambda what: F.when(F.col("open"), F.expr(what))
+        reach = judged.groupBy("gram").agg(
+            (F.min(when_open("distance")) - (1 - NUM / DEN) - 1e-9).alias("nearest"),
+            F.max(when_open(_REACH)).alias("largest"),
+            F.max(when_open(_INNER)).alias("largest_inner"),
+            F.min(when_open("n")).alias("smallest"),
+            F.min("n").alias("least_n"),
+            F.min(F.expr(_OUTER)).alias("least_outer"),
         )
-    other = places.select("gram", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("open").alias("pivot_open"))
-    rest = places.join(other, "gram").where("pivot < node and (open or pivot_open)")
-    edges = _tested(rest, paths).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+        stays = F.when(F.col("open"), F.expr(f"{_REACH} >= least_n and {_INNER} >= least_outer")).otherwise(
+            F.expr(f"distance >= nearest and n <= largest and {_REACH} >= smallest and {_OUTER} <= largest_inner")
+        )
+        places = stage(judged.join(reach, "gram").where(stays).select("gram", *_STATE), "places")
+    # A pair meets in every tree node that both are left in; the first of these has it.
+    own = places.groupBy("node").agg(F.array_sort(F.collect_set("gram")).alias("grams"))
+    places = places.join(own, "node")
+    other = places.select("gram", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in [*_STATE[1:], "grams"]])
+    rest = places.join(other, "gram").where(f"pivot < node and (open or pivot_open) and {_ENOUGH} and gram = array_min(array_intersect(grams, pivot_grams))")
+    rest = _with_parts(rest.select("pivot", "node", *_STATE[1:], *[f"pivot_{c}" for c in _STATE[1:]]), part)
+    edges = _tested(rest.where(~_connected()), paths).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return edges if found is None else found.unionByName(edges)
 
 
@@ -260,15 +335,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.min("key").alias("key"))
     classes = stage(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(int(total * PART / PER_BUCKET) + 1, shuffle_width(spark))
-    offered = texts.select("text").mapInArrow(_offer(buckets), _OFFERED).repartition(buckets, "bucket")
-    alone = offered.groupBy("bucket").applyInArrow(_count_alone, "key bigint, alone long").groupBy("key").agg(F.sum("alone").alias("alone"))
-    stays = classes.join(alone, "key", "left").where(
-        F.coalesce("alone", F.lit(0)) <= F.floor(F.col("n") * (DEN - NUM) / DEN)
-    )
-    stays = stage(stays.select("node", "digest"), "stays")
+    stays = stage(_staying(classes, _alone(texts.select("text"), total, PART)).select("node", "digest"), "stays")
     paths = texts.join(stays, texts["id"] == stays["node"]).select("node", "digest", "text")
-    paths = stage(paths.mapInArrow(_paths, "node bigint, n long, prefix array<bigint>, path binary").dropDuplicates(["node", "n", "path"]), "paths")
+    paths = paths.mapInArrow(_paths, "node bigint, key bigint, n long, prefix array<bigint>, path binary")
+    paths = stage(paths.dropDuplicates(["key", "node"]), "paths")
+    for _ in range(SCREENS):
+        total = paths.agg(F.sum("n")).first()[0] or 0
+        paths = stage(_staying(paths.drop("alone"), _alone(paths.select("path"), total, 1.0)), "paths")
     edges = _links(paths)
     labelled = classes.select("digest", "node")
     if edges is not None:
