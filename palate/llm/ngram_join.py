@@ -51,57 +51,71 @@ PER_BUCKET = 1 << 21
 PER_FLUSH = 1 << 21
 PIVOT_ROUNDS = 4
 SCREENS = 2
+#: (id, digest) rows that are broadcast at most: about 20 MB.
+BROADCAST_ROWS = 500_000
+#: Bytes of paths that are verified together.
+PER_BLOCK = 32 << 20
 
-_SIGNED = "id bigint, n long, digest binary, key bigint"
+_SIGNED = "id bigint, n long, digest binary, key bigint, counted bigint"
 
 
 def _digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
+def _counted(members: np.ndarray, part: float) -> np.ndarray:
+    if part >= 1 or len(members) <= _OFFER:
+        return members
+    return members[: np.searchsorted(members, np.uint64(int(part * 2**64)))]
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), _digest(s) if len(s) else None) for s in text_sets(batch.column("text"))]
+        sets = [(len(s), _digest(s) if len(s) else None, len(_counted(s, PART))) for s in text_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
-                pa.array([n for n, _ in sets], pa.int64()),
-                pa.array([d for _, d in sets], pa.binary()),
-                pa.array([d and int.from_bytes(d[:8], "little", signed=True) for _, d in sets], pa.int64()),
+                pa.array([n for n, _, _ in sets], pa.int64()),
+                pa.array([d for _, d, _ in sets], pa.binary()),
+                pa.array([d and int.from_bytes(d[:8], "little", signed=True) for _, d, _ in sets], pa.int64()),
+                pa.array([c for _, _, c in sets], pa.int64()),
             ],
-            ["id", "n", "digest", "key"],
+            ["id", "n", "digest", "key", "counted"],
         )
 
 
 def _flush(sets: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Counted n-grams by bucket: those of one set with their set, those of several without."""
+    """Counted n-grams by bucket: those of one set with their set; of those of several, each once and the sets' numbers."""
     ids = np.frombuffer(b"".join(sets), np.int64)
-    lengths = np.array([len(s) for s in sets.values()])
     grams = np.concatenate(list(sets.values()))
-    owner = np.repeat(np.arange(len(ids)), lengths)
+    owner = np.repeat(np.arange(len(ids)), [len(s) for s in sets.values()])
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
     new = np.r_[True, grams[1:] != grams[:-1]]
     single = new & np.r_[new[1:], True]
-    keep = np.flatnonzero(new)
-    grams, owner, single = grams[keep], owner[keep], single[keep]
     # Bucket by the high half, store the low half: a rare collision only makes an n-gram look shared.
     bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     short = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     rows: list[tuple] = []
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in range(buckets):
-        low, high = edges[b], edges[b + 1]
-        if low == high:
+        here = slice(edges[b], edges[b + 1])
+        own = single[here]
+        if not len(own):
             continue
-        own = single[low:high]
-        who, what = owner[low:high][own], short[low:high][own]
-        by = np.argsort(who, kind="stable")
-        present, counts = np.unique(who, return_counts=True)
-        rows.append((b, ids[present].tobytes(), counts.astype(np.uint32).tobytes(), what[by].tobytes(), short[low:high][~own].tobytes()))
-    columns = list(zip(*rows)) if rows else [[]] * 5
-    kinds = [pa.int32()] + [pa.binary()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["bucket", "ids", "counts", "own", "shared"])
+        who, counts = np.unique(owner[here][own], return_counts=True)
+        by = np.argsort(owner[here][own], kind="stable")
+        met, times = np.unique(owner[here][~own], return_counts=True)
+        rows.append(
+            (
+                b,
+                *(x.tobytes() for x in (ids[who], counts.astype(np.uint32), short[here][own][by])),
+                *(x.tobytes() for x in (ids[met], times.astype(np.uint32), short[here][new[here] & ~own])),
+            )
+        )
+    columns = list(zip(*rows)) if rows else [[]] * 7
+    kinds = [pa.int32()] + [pa.binary()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], _OFFERED_NAMES)
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -110,12 +124,11 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(p.as_py(), np.uint64) for p in batch.column("path"))
 
 
-_OFFERED = "bucket int, ids binary, counts binary, own binary, shared binary"
+_OFFERED = "bucket int, ids binary, counts binary, own binary, met_ids binary, met_counts binary, met binary"
+_OFFERED_NAMES = [c.split()[0] for c in _OFFERED.split(", ")]
 
 
 def _offer(buckets: int, part: float):
-    limit = int(part * 2**64)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
         size = 0
@@ -124,46 +137,46 @@ def _offer(buckets: int, part: float):
                 key = _digest(members)[:8]
                 if not len(members) or key in held:
                     continue
-                whole = part >= 1 or len(members) <= _OFFER
-                held[key] = members if whole else members[: np.searchsorted(members, np.uint64(limit))]
+                held[key] = _counted(members, part)
                 size += len(held[key])
                 if size >= PER_FLUSH:
                     yield _flush(held, buckets)
                     held, size = {}, 0
-        if size:
+        if held:
             yield _flush(held, buckets)
 
     return run
 
 
-def _count_alone(table: pa.Table) -> pa.Table:
-    """For each set, its n-grams of this bucket that no other set offers."""
-    parts = {c: [x.as_py() for x in table.column(c)] for c in ("ids", "counts", "own", "shared")}
-    ids = np.frombuffer(b"".join(parts["ids"]), np.int64)
-    counts = np.frombuffer(b"".join(parts["counts"]), np.uint32)
-    grams = np.frombuffer(b"".join(parts["own"]), np.uint32)
-    shared = np.unique(np.frombuffer(b"".join(parts["shared"]), np.uint32))
+def _count_shared(table: pa.Table) -> pa.Table:
+    """For each set, its n-grams of this bucket that another set offers."""
+    part = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
+    ids, counts, grams, met = part("ids", np.int64), part("counts", np.uint32), part("own", np.uint32), part("met", np.uint32)
     names, number = np.unique(ids, return_inverse=True)
-    owner = np.repeat(number.astype(np.uint64), counts)
-    pairs = np.unique(grams.astype(np.uint64) << np.uint64(32) | owner)
-    gram = pairs >> np.uint64(32)
-    new = np.r_[True, gram[1:] != gram[:-1]] if len(gram) else np.empty(0, bool)
-    alone = pairs[new & np.r_[new[1:], True]] if len(gram) else pairs
-    alone = alone[~np.isin(alone >> np.uint64(32), shared)] if len(alone) else alone
-    who, n = np.unique(alone & np.uint64(0xFFFFFFFF), return_counts=True)
-    return pa.table({"key": names[who.astype(np.int64)], "alone": n.astype(np.int64)})
-
-
-def _alone(sets: DataFrame, total: int, part: float) -> DataFrame:
-    """(key, alone): how many counted n-grams of a set no other set has; sets without such have no row."""
+    pairs = np.unique(grams.astype(np.uint64) << np.uint64(32) | np.repeat(number.astype(np.uint64), counts))
+    gram = (pairs >> np.uint64(32)).astype(np.uint32)
+    new = np.r_[True, gram[1:] != gram[:-1]][: len(gram)]
+    shared = ~(new & np.r_[new[1:], True][: len(gram)]) | np.isin(gram, met)
+    who, n = np.unique(pairs[shared] & np.uint64(0xFFFFFFFF), return_counts=True)
+    keys = np.r_[names[who.astype(np.int64)], part("met_ids", np.int64)]
+    return pa.table({"key": keys, "shared": np.r_[n.astype(np.int64), part("met_counts", np.uint32).astype(np.int64)]})
+
+
+def _shared(sets: DataFrame, total: int, part: float) -> DataFrame:
+    """(key, shared): how many counted n-grams of a set others have; sets without such have no row.
+
+    A set that more than one task offers may count an n-gram more than once: it looks more shared, which is safe.
+    """
     buckets = max(int(total * part / PER_BUCKET) + 1, shuffle_width(sets.sparkSession))
     offered = sets.mapInArrow(_offer(buckets, part), _OFFERED).repartition(buckets, "bucket")
-    counted = offered.groupBy("bucket").applyInArrow(_count_alone, "key bigint, alone bigint")
-    return counted.groupBy("key").agg(F.sum("alone").alias("alone"))
+    counted = offered.groupBy("bucket").applyInArrow(_count_shared, "key bigint, shared bigint")
+    return counted.groupBy("key").agg(F.sum("shared").alias("shared"))
 
 
-def _staying(sets: DataFrame, alone: DataFrame) -> DataFrame:
-    joined = sets.join(alone, "key", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+def _staying(sets: DataFrame, shared: DataFrame, counted: str) -> DataFrame:
+    """Sets of which at most a quarter is their own, with that part's size."""
+    alone = F.greatest(F.col(counted) - F.coalesce("shared", F.lit(0)), F.lit(0))
+    joined = sets.join(shared, "key", "left").withColumn("alone", alone).drop("shared")
     return joined.where(F.col("alone") * DEN <= F.col("n") * (DEN - NUM))
 
 
@@ -215,45 +228,58 @@ def walk(probe: np.ndarray, paths: list[np.ndarray], num: int = NUM, den: int =
 _VERIFIED = "pivot bigint, node bigint, linked boolean, distance double, overlap bigint"
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with both paths. Whoever is over twice the allowed distance away gets that as a lower bound."""
+def _verify(nodes: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Each pivot against the trie of its nodes here. Over twice the allowed distance, that is the bound given."""
     far = 2 * (1 - NUM / DEN)
-    for batch in batches:
-        pivots, nodes = batch.column("pivot").to_numpy(), batch.column("node").to_numpy()
-        linked, distance, overlap = np.zeros(len(nodes), bool), np.ones(len(nodes)), [None] * len(nodes)
-        order = np.argsort(pivots, kind="stable")
-        for group in np.split(order, np.flatnonzero(np.diff(pivots[order])) + 1) if len(order) else []:
-            probe = np.frombuffer(batch.column("probe")[int(group[0])].as_py(), np.uint64)
-            paths = [np.frombuffer(batch.column("path")[int(i)].as_py(), np.uint64) for i in group]
-            for i, path, common in zip(group, paths, walk(probe, paths, 2 * NUM - DEN, DEN)):
-                if common < 0:
-                    distance[i] = far
-                    continue
-                union, overlap[i] = len(path) + len(probe) - common, common
-                linked[i] = DEN * common >= NUM * union
-                distance[i] = 1 - common / union
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("pivot"), batch.column("node"), pa.array(linked), pa.array(distance), pa.array(overlap, pa.int64())],
-            ["pivot", "node", "linked", "distance", "overlap"],
-        )
+    probes = {p: np.frombuffer(s, np.uint64) for p, s in zip(pivots["pivot"].to_pylist(), pivots["probe"].to_pylist())}
+    tries: dict[int, list] = {}
+    for node, path, wanted in zip(nodes["node"].to_pylist(), nodes["path"].to_pylist(), nodes["pivots"].to_pylist()):
+        path = np.frombuffer(path, np.uint64)
+        for pivot in wanted:
+            tries.setdefault(pivot, []).append((node, path))
+    rows = []
+    for pivot, below in tries.items():
+        probe = probes[pivot]
+        for (node, path), common in zip(below, walk(probe, [p for _, p in below], 2 * NUM - DEN, DEN)):
+            if common < 0:
+                rows.append((pivot, node, False, far, None))
+            else:
+                union = len(path) + len(probe) - common
+                rows.append((pivot, node, DEN * common >= NUM * union, 1 - common / union, common))
+    columns = list(zip(*rows)) if rows else [[]] * 5
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int64()]
+    names = ["pivot", "node", "linked", "distance", "overlap"]
+    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
 
 # What a pair can have in common at most, and whether that is enough. ``inner`` and ``outer`` bound what a set can have
-# in common with others inside and outside of its last pivot.
-_MOST = "least(common, pivot_common, least(inner, pivot_inner) + least(outer, pivot_outer))"
+# in common with others inside and outside of its last pivot, ``first_``
+# of its first one.
+_MOST = (
+    "least(common, pivot_common, least(inner, pivot_inner) + least(outer, pivot_outer),"
+    " least(first_inner, pivot_first_inner) + least(first_outer, pivot_first_outer))"
+)
 _ENOUGH = f"{_MOST} * {NUM + DEN} >= (n + pivot_n) * {NUM}"
 # The largest partner that a set can have, by what it can have in common; and the same for its two parts.
 _REACH = f"common * {NUM + DEN} / {NUM} - n"
 _INNER = f"inner * {NUM + DEN} / {NUM} - n"
 _OUTER = f"n - outer * {NUM + DEN} / {NUM}"
-_STATE = ["node", "n", "common", "inner", "outer", "open"]
+_STATE = ["node", "n", "common", "inner", "outer", "first_inner", "first_outer", "open"]
 
 
 def _tested(pairs: DataFrame, paths: DataFrame) -> DataFrame:
-    """(pivot, node, linked, distance) of the distinct pairs that the bounds leave."""
-    near = pairs.where(_ENOUGH).select("pivot", "node").distinct()
-    rows = near.join(paths.select("node", "path"), "node").join(paths.select(F.col("node").alias("pivot"), F.col("path").alias("probe")), "pivot")
-    return stage(rows.mapInArrow(_verify, _VERIFIED), "tested")
+    """(pivot, node, linked, distance, overlap) of the distinct pairs that the bounds leave.
+
+    Nodes lie in blocks of bounded size; a path goes to its block once, a pivot's once to each block that needs it.
+    """
+    near = stage(pairs.where(_ENOUGH).select("pivot", "node").distinct(), "near")
+    held = paths.join(near.select("node").distinct(), "node", "left_semi").agg(F.sum("n")).first()[0] or 0
+    blocks = max(int(held * 8 / PER_BLOCK) + 1, shuffle_width(pairs.sparkSession))
+    near = near.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
+    wanted = near.groupBy("block", "node").agg(F.collect_list("pivot").alias("pivots"))
+    nodes = wanted.join(paths.select("node", "path"), "node")
+    probes = near.select(F.col("block").alias("place"), "pivot").distinct().join(paths.select(F.col("node").alias("pivot"), F.col("path").alias("probe")), "pivot")
+    return stage(nodes.groupBy("block").cogroup(probes.groupBy("place")).applyInArrow(_verify, _VERIFIED), "tested")
 
 
 def _with_parts(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -271,14 +297,15 @@ def _links(paths: DataFrame) -> DataFrame | None:
     """Edges (a, b) that connect whatever is linked."""
     places = stage(
         paths.withColumn("common", F.col("n") - F.col("alone"))
-        .withColumns({"inner": F.col("common"), "outer": F.col("common"), "open": F.lit(True)})
+        .withColumns({c: F.col("common") for c in ("inner", "outer", "first_inner", "first_outer")})
+        .withColumn("open", F.lit(True))
         .select(*_STATE, F.explode("prefix").alias("gram")),
         "places",
     )
     found = None
     # The pivot of a tree node is the open member with the smallest share of n-grams of its own.
     order = F.struct((1 - F.col("common") / F.col("n")).alias("own"), *_STATE)
-    for _ in range(PIVOT_ROUNDS):
+    for turn in range(PIVOT_ROUNDS):
         pivot = (
             places.groupBy("gram")
             .agg(F.min(F.when(F.col("open"), order)).alias("p"), F.count("*").alias("m"))
@@ -301,6 +328,8 @@ def _links(paths: DataFrame) -> DataFrame | None:
                 "outer": F.col("common") - F.coalesce("overlap", F.lit(0)),
             }
         )
+        if not turn:
+            judged = judged.withColumns({"first_inner": F.col("inner"), "first_outer": F.col("outer")})
         judged = judged.withColumn("open", F.col("open") & ~F.col("linked"))
         judged = stage(judged.select("gram", *_STATE, "distance"), "judged")
         when_open = lambda what: F.when(F.col("open"), F.expr(what))
@@ -332,16 +361,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     bound_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = stage(texts.mapInArrow(_sign, _SIGNED), "signed")
-    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.min("key").alias("key"))
+    classes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("node"), F.max("n").alias("n"), F.min("key").alias("key"), F.max("counted").alias("counted"))
     classes = stage(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
-    stays = stage(_staying(classes, _alone(texts.select("text"), total, PART)).select("node", "digest"), "stays")
-    paths = texts.join(stays, texts["id"] == stays["node"]).select("node", "digest", "text")
+    stays = _staying(classes, _shared(texts.select("text"), total, PART), "counted")
+    stays = stage(stays.select("node", "digest"), "stays")
+    few = stays.count() <= BROADCAST_ROWS
+    paths = texts.join(F.broadcast(stays) if few else stays, texts["id"] == stays["node"]).select("node", "digest", "text")
     paths = paths.mapInArrow(_paths, "node bigint, key bigint, n long, prefix array<bigint>, path binary")
     paths = stage(paths.dropDuplicates(["key", "node"]), "paths")
     for _ in range(SCREENS):
         total = paths.agg(F.sum("n")).first()[0] or 0
-        paths = stage(_staying(paths.drop("alone"), _alone(paths.select("path"), total, 1.0)), "paths")
+        paths = stage(_staying(paths.drop("alone"), _shared(paths.select("path"), total, 1.0), "n"), "paths")
     edges = _links(paths)
     labelled = classes.select("digest", "node")
     if edges is not None:
