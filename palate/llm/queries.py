@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palate.llm.common import documents
 from palate.llm.ngram_join import ngram_join
+from palate.llm.pu_classifier import pu_classifier
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +27,8 @@ def query(name: str, sql: str | None = None):
 @query("op9_ngram_join")
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(documents(spark, sf_dir))
+
+
+@query("op10_pu_classifier")
+def op10_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
