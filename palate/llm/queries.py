@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from palate.llm import bpe, mixing, pii
 from palate.llm.common import documents
 from palate.llm.ngram_join import ngram_join
 from palate.llm.pu_classifier import pu_classifier
@@ -14,6 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -32,3 +38,18 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pu_classifier")
 def op10_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_classifier(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+@query("op6_mixing", mixing.SQL)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(documents(spark, sf_dir))
+
+
+@query("op7_bpe")
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(documents(spark, sf_dir), tokenizer_path())

@@ -41,3 +41,30 @@ def ngram_join(rows):
                 links.append((a, b))
     label = find_components(ids, links)
     return {(i, len(sets[i]), label[i]) for i in ids}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def base_spans(text):
+    text, out = text or "", []
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    for kind, pattern, good in (
+        ("email", EMAIL, lambda m: True),
+        ("ip", IP, lambda m: all(int(p) <= 255 for p in m[0].split("."))),
+        ("card", CARD, lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", PHONE, lambda m: 9 <= len(digits(m)) <= 15),
+    ):
+        out += [f"{kind}:{m.start()}:{m.end()}" for m in pattern.finditer(text) if good(m)]
+    return out
