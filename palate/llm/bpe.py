@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +33,19 @@ LONG = 2048
 LEAF = 512
 WINDOW = 4
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 # White space as the tokenizer's normaliser takes it.
 _BLANK = r"\t-\r \u0085   -     　"
 _WORDS = regex.compile(f"[^{_BLANK}]+")
 
 
+# Letters that no normalisation but lower case changes, then marks without an apostrophe.
+_PLAIN = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|()-]*)")
+# A byte's character in a byte-level vocabulary: itself where it prints, else the next free one from 256 on.
+_PRINTS = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE = {b: chr(b) for b in _PRINTS} | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in _PRINTS)}
+
+
 class Coder:
     """The tokenizer of one file; one per worker process."""
 
@@ -54,6 +62,7 @@ class Coder:
         self.open = BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.memory: dict[str, tuple[int, ...]] = {}
+        self.roots: dict[str, tuple[int, ...]] = {}
         size = self.tokenizer.get_vocab_size()
         self.names = np.array([self.tokenizer.id_to_token(i) for i in range(size)], object)
 
@@ -63,19 +72,36 @@ class Coder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def words(self, words: list[str]) -> None:
-        """Put words into the memory, encoded together."""
-        new = list({w for w in words if w not in self.memory})
-        if len(self.memory) + len(new) > MEMORY:
+    def words(self, words: set[str]) -> None:
+        """Put words into the memory. Letters with or without closing marks are two parts to the tokenizer: the letters,
+        in lower case, and the marks. All other words are encoded by it, together."""
+        if len(self.memory) + len(words) > MEMORY:
             self.memory.clear()
-            new = list(set(words))
-        for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memory[word] = tuple(code.ids)
-
-    def text(self, text: str) -> list[int]:
-        words = split(text)
-        self.words(words)
-        return [i for w in words for i in self.memory[w]]
+            self.roots.clear()
+        memory, roots, odd = self.memory, self.roots, []
+        for word in words:
+            if word in memory:
+                continue
+            plain = _PLAIN.fullmatch(word)
+            if not plain:
+                odd.append(word)
+                continue
+            out: tuple[int, ...] = ()
+            for part in (plain[1].lower(), plain[2]):
+                if part and part not in roots:
+                    raw = part if part.isascii() else "".join([_BYTE[b] for b in part.encode()])
+                    roots[part] = tuple([t.id for t in self.closed.tokenize(raw)])
+                out += roots[part] if part else ()
+            memory[word] = out
+        if odd:
+            for word, code in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+                memory[word] = tuple(code.ids)
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [split(t) for t in texts]
+        self.words(set(chain.from_iterable(cut)))
+        known = self.memory.__getitem__
+        return [np.fromiter(chain.from_iterable(map(known, words)), np.int32) for words in cut]
 
     def parts(self, word: str) -> list[str | int]:
         """A long word as the tokenizer splits it: byte strings and ids of special tokens."""
@@ -142,8 +168,10 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder.of(path)
         for batch in batches:
-            ids = [coder.text(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+            ids = coder.texts(batch.column("text").to_pylist())
+            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *ids]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["id", "ids"])
 
     return run
 
@@ -205,7 +233,7 @@ def _encode_pieces(path: str):
         for batch in batches:
             out = []
             for leaf, last, text, ids in zip(*(batch.column(c).to_pylist() for c in ("leaf", "last", "text", "ids"))):
-                out.append(ids if text is None else coder.text(text) if leaf is None else coder.piece(text, last))
+                out.append(ids if text is None else coder.texts([text])[0] if leaf is None else coder.piece(text, last))
             at = batch.schema.names.index("text")
             columns = [batch.column(i) for i in range(at)] + [pa.nulls(len(out), pa.string()), pa.array(out, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -234,7 +262,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """One row per document: id and token ids."""
     bound_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    long = (F.length("text") > LONG) & F.col("text").rlike(f"[^{_BLANK}]{{{LONG + 1}}}")
+    # Texts with a stretch of over LONG characters between spaces, so all with such a word.
+    long = (F.length("text") > LONG) & F.exists(F.split("text", " "), lambda w: F.length(w) > LONG)
     plain = texts.where(~long).mapInArrow(_encode(path), "id bigint, ids array<int>")
     rows = stage(texts.where(long).withColumn("row", F.monotonically_increasing_id()), "long")
     cut = rows.mapInArrow(_cut(path), _CUT).repartition(shuffle_width(docs.sparkSession), "row", "word", "part", "leaf")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palate.session import stage
 
 # Arrow batches are bounded in bytes: texts have no length limit, so a bound in rows is none.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
