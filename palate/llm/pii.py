@@ -91,9 +91,16 @@ def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     keep = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]
     cut = docs.select(*keep, text.alias("t"))
+    # A text without the characters that a format must have is not searched for it.
+    cut = cut.withColumns({"ats": F.col("t").contains("@"), "digits": F.col("t").rlike("[0-9]")})
+    none = F.array().cast("array<string>")
     for kind, pattern in _PATTERNS.items():
+        may = F.col("ats" if kind == "email" else "digits")
         cut = cut.withColumns(
-            {f"{kind}_found": F.regexp_extract_all("t", F.lit(pattern), F.lit(0)), f"{kind}_gaps": F.split("t", pattern, -1)}
+            {
+                f"{kind}_found": F.when(may, F.regexp_extract_all("t", F.lit(pattern), F.lit(0))).otherwise(none),
+                f"{kind}_gaps": F.when(may, F.split("t", pattern, -1)).otherwise(none),
+            }
         )
     # Of the gaps only their lengths and the words next to the matches are kept.
     small = []
@@ -177,6 +184,8 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -
     text = f"in_{docs.columns.index(text_col)}"
     order = F.sort_array(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     # Of overlapping spans the first stays: one that starts after all before it have ended.
+    found = found.withColumn("order", order)
+    order = F.col("order")
     apart = F.filter(
         order, lambda s, i: (i == 0) | (s["start"] >= F.coalesce(-F.array_min(F.transform(F.slice(order, F.lit(1), i), lambda p: p["back"])), F.lit(0)))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import bpe, mixing, pii
+from palate.llm import bpe, mixing, pii, quality_rules
 from palate.llm.common import documents
 from palate.llm.ngram_join import ngram_join
 from palate.llm.pu_classifier import pu_classifier
@@ -53,3 +53,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_bpe")
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(documents(spark, sf_dir), tokenizer_path())
+
+
+@query("op1_quality_rules", quality_rules.SQL)
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
