@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palate.llm import bpe, mixing, pii, quality_rules
 from palate.llm.common import documents
+from palate.llm.embed_dedup import embed_dedup
 from palate.llm.ngram_join import ngram_join
 from palate.llm.pu_classifier import pu_classifier
 
@@ -58,3 +59,8 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_quality_rules", quality_rules.SQL)
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+@query("op8_embed_dedup")
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
