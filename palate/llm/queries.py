@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import bpe, mixing, pii, quality_rules
+from palate.llm import bpe, html_wrappers, mixing, pii, quality_rules
 from palate.llm.common import documents
 from palate.llm.embed_dedup import embed_dedup
 from palate.llm.ngram_join import ngram_join
@@ -64,3 +64,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embed_dedup")
 def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op5_html_wrappers")
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
