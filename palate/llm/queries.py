@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import bpe, html_wrappers, mixing, pii, quality_rules
+from palate.llm import bpe, chat_repair, html_wrappers, license_scan, mixing, pii, quality_rules
 from palate.llm.common import documents
 from palate.llm.embed_dedup import embed_dedup
 from palate.llm.ngram_join import ngram_join
@@ -69,3 +69,13 @@ def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_html_wrappers")
 def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrappers.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query("op2_license_scan", license_scan.SQL)
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+@query("op3_chat_repair")
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.chat_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
