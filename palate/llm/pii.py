@@ -86,10 +86,10 @@ def _offsets(kind: str) -> Column:
     return F.transform(blocks, lambda _, b: _total(F.slice(blocks, F.lit(1), b)))
 
 
-def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents' columns as in_0, in_1, ... with ``base_spans`` and ``all_spans``: arrays of (kind number, start, end)."""
+def find(docs: DataFrame, kept: list[str], text_col: str = "text") -> DataFrame:
+    """The ``kept`` columns of the documents as in_0, in_1, ... with ``base_spans`` and ``all_spans``: arrays of (kind number, start, end)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keep = [F.col(c).alias(f"in_{i}") for i, c in enumerate(docs.columns)]
+    keep = [F.col(c).alias(f"in_{i}") for i, c in enumerate(kept)]
     cut = docs.select(*keep, text.alias("t"))
     # A text without the characters that a format must have is not searched for it.
     cut = cut.withColumns({"ats": F.col("t").contains("@"), "digits": F.col("t").rlike("[0-9]")})
@@ -172,7 +172,7 @@ def _said(spans: str) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, a count per fixed format, the digest of the base spans, all spans."""
-    found = find(docs.select(id_col, text_col), text_col)
+    found = find(docs, [id_col], text_col)
     of_kind = lambda i: F.filter("base_spans", lambda s: s["kind"] == i)
     counts = [F.size(of_kind(i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     return found.select(F.col("in_0").alias(id_col), *counts, F.sha2(_said("base_spans"), 256).alias("base_sha256"), _said("all_spans").alias("spans"))
@@ -180,7 +180,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The same columns with every span replaced by its kind, and the length renewed."""
-    found = find(docs, text_col=text_col)
+    found = find(docs, docs.columns, text_col)
     text = f"in_{docs.columns.index(text_col)}"
     order = F.sort_array(F.transform("all_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     # Of overlapping spans the first stays: one that starts after all before it have ended.
