@@ -29,7 +29,6 @@ OVERLAP_GOOD, OVERLAP_HIGH, OVERLAP_SAME = 0.3, 0.6, 0.8
 SUITE_PASS, SUITE_WEAK = 80, 60
 TIERS = [(85, "excellent"), (70, "good"), (50, "fair")]
 HISTOGRAM_BINS = 50
-EMBEDDING_SAMPLE = 1000
 
 
 def quality(recs: DataFrame, keys: list[str]) -> DataFrame:
@@ -171,7 +170,7 @@ def embedding_norms(df: DataFrame) -> DataFrame:
 
 
 def embedding_metrics(sample: DataFrame) -> DataFrame:
-    """Pairwise cosine statistics of a sample, itself included, and norm statistics.
+    """Cosine statistics of all pairs of the given vectors, each with itself included, and norm statistics.
 
     Mean and deviation of all pairs follow from the sum of the unit vectors and from their second
     moments, so no pair is formed; the smallest cosine is the nearest neighbour of a negated vector.

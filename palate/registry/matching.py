@@ -105,7 +105,7 @@ def j9(spark, d):
     "a12_embedding_metrics",
     views(
         extra={
-            "v": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings ORDER BY vec_id LIMIT 1000",
+            "v": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings",
             "s": f"SELECT {cosine_sql('a.vec', 'b.vec')} AS sim FROM v a, v b",
             "n": "SELECT sqrt(list_inner_product(vec, vec)) AS n FROM v",
         }
@@ -114,8 +114,7 @@ def j9(spark, d):
             round(max(sim), 6) AS max_similarity, (SELECT round(avg(n), 6) FROM n) AS embedding_norm_mean, (SELECT round(stddev_pop(n), 6) FROM n) AS embedding_norm_std FROM s""",
 )
 def a12(spark, d):
-    sample = B.embeddings(spark, d).select("track_id", "vec").orderBy("track_id").limit(E.EMBEDDING_SAMPLE)
-    out = E.embedding_metrics(stage(sample, "sample"))
+    out = E.embedding_metrics(stage(B.embeddings(spark, d).select("track_id", "vec"), "vectors"))
     return out.withColumns({c: F.round(c, 6) for c in out.columns})
 
 
