@@ -213,15 +213,17 @@ def resolve_titles(wanted: DataFrame, foreign: DataFrame) -> DataFrame:
 
 
 def feature_cascade(rows: DataFrame, features: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Features by own id, else by the known foreign id; `source` says which, NULL if neither."""
-    packed = features.select("track_id", F.struct(*FEATURES).alias("f"))
+    """Features by own id, else by a known foreign id; `source` says which, NULL if neither.
+
+    One row per row of `rows`: of repeated feature rows the smallest counts, of several foreign ids the smallest
+    that has features.
+    """
+    packed = features.groupBy("track_id").agg(F.min(F.struct(*FEATURES)).alias("f"))
     direct = packed.select("track_id", F.col("f").alias("direct"))
-    via = packed.select(F.col("track_id").alias("foreign_id"), F.col("f").alias("via"))
-    joined = (
-        rows.join(direct, "track_id", "left")
-        .join(crosswalk.select("track_id", "foreign_id"), "track_id", "left")
-        .join(via, "foreign_id", "left")
-    )
+    known = packed.select(F.col("track_id").alias("foreign_id"), "f")
+    via = crosswalk.select("track_id", "foreign_id").join(known, "foreign_id")
+    via = via.groupBy("track_id").agg(F.min(F.struct("foreign_id", "f")).alias("first")).select("track_id", F.col("first.f").alias("via"))
+    joined = rows.join(direct, "track_id", "left").join(via, "track_id", "left")
     source = F.when(F.col("direct").isNotNull(), "direct").when(F.col("via").isNotNull(), "crosswalk")
     best = F.coalesce("direct", "via")
     return joined.select("track_id", source.alias("source"), *[best[c].alias(c) for c in FEATURES])

@@ -189,7 +189,7 @@ def t1(spark, d):
     base = new_path(spark, "stream")
     features = Q.complete(B.tracks(spark, d)).select("track_id", *FEATURES)
     stream = S.ingest_stream(
-        S.event_additions(spark, landed_events(spark, d)), f"{base}/library", f"{base}/misses", features, f"{base}/checkpoint", late="365 days"
+        S.event_additions(spark, landed_events(spark, d)), f"{base}/library", f"{base}/misses", features, f"{base}/checkpoint"
     )
     stream.awaitTermination()
     return S.read_library(spark, f"{base}/library").select("user_id", "track_id")
@@ -203,7 +203,7 @@ def t1_misses(spark, d):
     base = new_path(spark, "stream")
     features = Q.complete(B.tracks(spark, d)).select("track_id", *FEATURES)
     stream = S.ingest_stream(
-        S.event_additions(spark, landed_events(spark, d)), f"{base}/library", f"{base}/misses", features, f"{base}/checkpoint", late="365 days"
+        S.event_additions(spark, landed_events(spark, d)), f"{base}/library", f"{base}/misses", features, f"{base}/checkpoint"
     )
     stream.awaitTermination()
     return spark.read.schema("track_id bigint").parquet(f"{base}/misses").select("track_id").distinct()
@@ -215,6 +215,6 @@ def t1_misses(spark, d):
 )
 def t2(spark, d):
     base = new_path(spark, "growth")
-    stream = S.growth_stream(S.event_additions(spark, landed_events(spark, d)), f"{base}/daily", f"{base}/checkpoint", late="365 days")
+    stream = S.growth_stream(S.event_additions(spark, landed_events(spark, d)), f"{base}/daily", f"{base}/checkpoint")
     stream.awaitTermination()
     return S.read_growth(spark, f"{base}/daily").select(F.date_format("day", "yyyy-MM-dd").alias("day"), "added")

@@ -197,7 +197,7 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     events.repartition(3).write.parquet(landing)
     features = spark.createDataFrame([(0,), (1,), (2,)], "track_id long")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    S.ingest_stream(stream, f"{base}/lib", f"{base}/miss", features, f"{base}/cp", late="30 days").awaitTermination()
+    S.ingest_stream(stream, f"{base}/lib", f"{base}/miss", features, f"{base}/cp").awaitTermination()
     expected = {(r["user_id"], r["track_id"]) for r in events.collect()}
     got = [(r["user_id"], r["track_id"]) for r in S.read_library(spark, f"{base}/lib").collect()]
     assert len(got) == len(set(got)) and set(got) == expected
@@ -207,3 +207,30 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     for _ in range(2):
         S.library_sink(f"{base}/lib2", f"{base}/miss2", features)(last, 0)
     assert S.read_library(spark, f"{base}/lib2").count() == 5
+
+
+def test_late_rows_are_stored_and_counted(spark):
+    landing, base = new_path(spark, "landing"), new_path(spark, "stream")
+    days = ["2024-01-10", "2024-01-11", "2024-01-05", "2024-01-12", "2024-01-05"]
+    for i, day in enumerate(days):
+        one = spark.createDataFrame([(i, 1, i, f"{day} 08:00:00")], "event_id long, user_id long, track_id long, ts string")
+        one.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(landing)
+    schema = "event_id long, user_id long, track_id long, ts timestamp"
+    source = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    features = spark.createDataFrame([(0,)], "track_id long")
+    S.ingest_stream(source(), f"{base}/lib", f"{base}/miss", features, f"{base}/cp").awaitTermination()
+    assert sorted(r["event_id"] for r in S.read_library(spark, f"{base}/lib").collect()) == [0, 1, 2, 3, 4]
+    S.growth_stream(source(), f"{base}/daily", f"{base}/cp2").awaitTermination()
+    got = {r["day"].strftime("%Y-%m-%d"): r["added"] for r in S.read_growth(spark, f"{base}/daily").collect()}
+    assert got == {"2024-01-10": 1, "2024-01-11": 1, "2024-01-05": 2, "2024-01-12": 1}
+
+
+def test_cascade_gives_one_row_per_track(spark):
+    wanted = spark.createDataFrame([(1,), (2,), (3,)], "track_id long")
+    row = lambda i, v: (i, *[v if c not in ("key", "mode") else 1 for c in FEATURES])
+    features = spark.createDataFrame([row(1, 0.5), row(1, 0.5), row(10, 0.25), row(11, 0.75)], feature_schema())
+    crosswalk = spark.createDataFrame([(2, 11), (2, 10), (2, 9), (3, 12)], "track_id long, foreign_id long")
+    got = {r["track_id"]: r for r in resolve.feature_cascade(wanted, features, crosswalk).collect()}
+    assert len(got) == 3 and resolve.feature_cascade(wanted, features, crosswalk).count() == 3
+    assert got[1]["source"] == "direct" and got[2]["source"] == "crosswalk" and got[3]["source"] is None
+    assert got[2]["energy"] == 0.25
