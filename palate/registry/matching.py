@@ -124,27 +124,27 @@ def model_vectors(spark, d) -> DataFrame:
     return stage(vectors.withColumn("split", C.split_name(C.split_bucket("track_id"))), "vectors")
 
 
-def small_model(spark, d, epochs: int = 3) -> tuple[M.Model, DataFrame]:
+def trained_model(spark, d) -> tuple[M.Model, DataFrame]:
     vectors = model_vectors(spark, d)
     train = vectors.where("split = 'train'")
-    return M.train_autoencoder(train, vectors.where("split = 'validation'"), train.count(), epochs=epochs), vectors
+    return M.train_autoencoder(train, vectors.where("split = 'validation'")), vectors
 
 
 @query("m2_train_autoencoder")
 def m2(spark, d):
-    model, _ = small_model(spark, d)
+    model, _ = trained_model(spark, d)
     return model.history_frame(spark)
 
 
 @query("m3_encode_catalog")
 def m3(spark, d):
-    model, vectors = small_model(spark, d, epochs=1)
+    model, vectors = trained_model(spark, d)
     return M.encode_tracks(vectors, model.weights).select("track_id", F.size("vec").alias("dim"), F.round(F.col("vec")[0], 6).alias("first"))
 
 
 @query("m4_reconstruct")
 def m4(spark, d):
-    model, vectors = small_model(spark, d, epochs=1)
+    model, vectors = trained_model(spark, d)
     return E.reconstruction_metrics(M.reconstruct_tracks(vectors, model.weights))
 
 
@@ -159,14 +159,14 @@ def m5(spark, d):
 @query("p6_train_and_publish")
 def p6(spark, d):
     store = lifecycle.Artifacts.at(spark, new_path(spark, "artifacts"))
-    trained = lifecycle.train_and_publish(B.tracks(spark, d), store, epochs=2, minimum=100)
+    trained = lifecycle.train_and_publish(B.tracks(spark, d), store, minimum=100)
     return trained.metrics.withColumn("rows", F.lit(store.embeddings.current().count()))
 
 
 @query("m6_encoded_neighbours")
 def m6_encoded(spark, d):
     """Neighbours in the learned space instead of the given one."""
-    model, vectors = small_model(spark, d, epochs=1)
+    model, vectors = trained_model(spark, d)
     encoded = stage(M.encode_tracks(vectors, model.weights), "encoded")
     return nearest_tracks(encoded.withColumnRenamed("track_id", "query_id"), encoded, 5)
 

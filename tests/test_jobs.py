@@ -166,8 +166,7 @@ def test_gradients_are_right():
         assert grads[name][at] == pytest.approx((loss[0] - loss[1]) / 2e-6, abs=1e-7)
 
 
-def test_training_lowers_validation_error_and_publishes(spark, monkeypatch):
-    monkeypatch.setattr(M, "ROWS_PER_PARTITION", 500)
+def test_training_lowers_validation_error_and_publishes(spark):
     rng = np.random.default_rng(2)
     n = 1600
     rows = []
