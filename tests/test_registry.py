@@ -43,4 +43,4 @@ def test_entry_runs(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert all(re.fullmatch(r"[a-z]\d+_[a-z0-9_]+", name) for name in entry.queries())
+    assert all(re.fullmatch(r"(op|[a-z])\d+_[a-z0-9_]+|pipeline", name) for name in entry.queries())
