@@ -56,13 +56,12 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: id, whole_licence, n_licence_lines, licences (distinct, sorted, comma-joined)."""
     longest = max(len(t) for _, t in KNOWN)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    digest = lambda unit: F.when(normal(unit) != "", F.sha2(normal(unit), 256))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(line) > 0)
     rows = docs.select(
         F.col(id_col).alias("id"),
-        digest(text).alias("whole"),
+        F.sha2(F.nullif(normal(text), F.lit("")), 256).alias("whole"),
         # A line of a known length times a margin can be one; normalising only shortens a line's words by spellings.
-        F.transform(F.filter(lines, lambda line: F.length(normal(line)) <= longest), lambda line: F.sha2(normal(line), 256)).alias("lines"),
+        F.transform(F.filter(F.transform(lines, normal), lambda line: F.length(line) <= longest), lambda line: F.sha2(line, 256)).alias("lines"),
     )
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "units")
     units = rows.select("row", F.lit(True).alias("is_whole"), F.col("whole").alias("digest")).unionByName(
