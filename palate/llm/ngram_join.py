@@ -41,7 +41,7 @@ from palate.session import stage
 
 # Similar: intersection / union >= NUM / DEN.
 NUM, DEN = 75, 100
-#: Part of the hash space in which n-grams are counted; sets of up to WHOLE n-grams are counted in full.
+#: Part of the hash space in which n-grams are counted and offered; sets of up to WHOLE n-grams are counted in full.
 PART = 0.4
 WHOLE = 64
 #: Sets of up to this size can be similar to one of WHOLE n-grams, so all their n-grams are offered.
@@ -63,15 +63,19 @@ def _digest(members: np.ndarray) -> bytes:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
-def _counted(members: np.ndarray, part: float) -> np.ndarray:
-    if part >= 1 or len(members) <= _OFFER:
+def _within(members: np.ndarray, part: float, whole: int) -> np.ndarray:
+    """All n-grams of a set of up to ``whole``, of a larger one those in the part of the hash space.
+
+    Sets are counted up to WHOLE and offered up to _OFFER: whatever can be similar to a set offers all that it counts.
+    """
+    if part >= 1 or len(members) <= whole:
         return members
     return members[: np.searchsorted(members, np.uint64(int(part * 2**64)))]
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [(len(s), _digest(s) if len(s) else None, len(_counted(s, PART))) for s in text_sets(batch.column("text"))]
+        sets = [(len(s), _digest(s) if len(s) else None, len(_within(s, PART, WHOLE))) for s in text_sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("id"),
@@ -84,8 +88,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _flush(sets: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Counted n-grams by bucket: those of one set with their set; of those of several, each once and the sets' numbers."""
+def _flush(sets: dict[bytes, np.ndarray], buckets: int, part: float) -> pa.RecordBatch:
+    """Offered n-grams by bucket: those that only one set counts with their set; of the others, each once and the sets' numbers.
+
+    What a set offers but does not count is listed for the others only.
+    """
     ids = np.frombuffer(b"".join(sets), np.int64)
     grams = np.concatenate(list(sets.values()))
     owner = np.repeat(np.arange(len(ids)), [len(s) for s in sets.values()])
@@ -93,6 +100,8 @@ def _flush(sets: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
     grams, owner = grams[order], owner[order]
     new = np.r_[True, grams[1:] != grams[:-1]]
     single = new & np.r_[new[1:], True]
+    counts_all = np.array([len(s) <= WHOLE for s in sets.values()]) | (part >= 1)
+    counted = counts_all[owner] | (grams < np.uint64(min(int(part * 2**64), 2**64 - 1)))
     # Bucket by the high half, store the low half: a rare collision only makes an n-gram look shared.
     bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     short = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
@@ -100,12 +109,12 @@ def _flush(sets: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in range(buckets):
         here = slice(edges[b], edges[b + 1])
-        own = single[here]
-        if not len(own):
+        if here.start == here.stop:
             continue
+        own = (single & counted)[here]
         who, counts = np.unique(owner[here][own], return_counts=True)
         by = np.argsort(owner[here][own], kind="stable")
-        met, times = np.unique(owner[here][~own], return_counts=True)
+        met, times = np.unique(owner[here][(~single & counted)[here]], return_counts=True)
         rows.append(
             (
                 b,
@@ -137,13 +146,13 @@ def _offer(buckets: int, part: float):
                 key = _digest(members)[:8]
                 if not len(members) or key in held:
                     continue
-                held[key] = _counted(members, part)
+                held[key] = _within(members, part, _OFFER)
                 size += len(held[key])
                 if size >= PER_FLUSH:
-                    yield _flush(held, buckets)
+                    yield _flush(held, buckets, part)
                     held, size = {}, 0
         if held:
-            yield _flush(held, buckets)
+            yield _flush(held, buckets, part)
 
     return run
 

@@ -65,3 +65,21 @@ def test_walk():
         common = len(np.intersect1d(path, probe))
         similar = 100 * common >= 75 * (len(path) + len(probe) - common)
         assert got == common or (got == -1 and not similar)
+
+
+def test_pairs_astride_the_size_switch(spark):
+    rng = random.Random(5)
+    rows = []
+    for size in range(60, 121):
+        for more in (1, 2, size // 8, size // 4, size // 3):
+            base = [f"w{rng.randrange(10**9)}" for _ in range(size + 4)]
+            rows += [" ".join(base), " ".join(base + [f"e{rng.randrange(10**9)}" for _ in range(more)])]
+    rows = list(enumerate(rows))
+    rows.append((len(rows), rows[0][1] + " " + rows[-1][1]))
+    got = {tuple(r) for r in ngram_join(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(5)).collect()}
+    # Pairs differ in all words, so only the two of one base can be linked.
+    want, sets = set(), [brute.shingles(t) for _, t in rows]
+    for i in range(0, len(rows) - 1, 2):
+        both, either = len(sets[i] & sets[i + 1]), len(sets[i] | sets[i + 1])
+        want |= {(i, len(sets[i]), i), (i + 1, len(sets[i + 1]), i if 100 * both >= 75 * either else i + 1)}
+    assert got == want | {(len(rows) - 1, len(sets[-1]), len(rows) - 1)}
