@@ -17,8 +17,10 @@ is walked.
 Nodes can hold a third of all documents, so no node lists its pairs. Each node tests its members against one pivot.
 Jaccard distance is a metric, so a member with a distance d to the pivot can only be linked to a failed member with a
 distance of at most d + 0.25: whoever is out of reach leaves the node, the others go to the next round with a
-failed member as pivot; members that other links already connect to the pivot have not failed. What a few rounds
-don't settle is compared pair by pair, where links don't connect the pair already.
+failed member as pivot; members that other links already connect to the pivot have not failed. That is asked anew in each
+round: a member connected to one pivot has failed for the pivot of another component, so two members stay as long as
+they lie in different components and within reach. What a few rounds don't settle is compared pair by pair, where links
+don't connect the pair already.
 
 Defined results: null, empty and blank texts have no n-grams (n_shingles 0) and are linked with nothing; texts under
 five words are one n-gram; equal rows are linked; repeated doc_ids with different texts give a row each; an empty
@@ -269,10 +271,10 @@ _MOST = (
     " least(first_inner, pivot_first_inner) + least(first_outer, pivot_first_outer))"
 )
 _ENOUGH = f"{_MOST} * {NUM + DEN} >= (n + pivot_n) * {NUM}"
-# The largest partner that a set can have, by what it can have in common; and the same for its two parts.
-_REACH = f"common * {NUM + DEN} / {NUM} - n"
-_INNER = f"inner * {NUM + DEN} / {NUM} - n"
-_OUTER = f"n - outer * {NUM + DEN} / {NUM}"
+# NUM times the largest partner that a set can have, by what it can have in common; and the same for its two parts.
+_REACH = f"common * {NUM + DEN} - n * {NUM}"
+_INNER = f"inner * {NUM + DEN} - n * {NUM}"
+_OUTER = f"n * {NUM} - outer * {NUM + DEN}"
 _STATE = ["node", "n", "common", "inner", "outer", "first_inner", "first_outer", "open"]
 
 
@@ -312,7 +314,7 @@ def _links(paths: DataFrame) -> DataFrame | None:
         "places",
     )
     found = None
-    # The pivot of a tree node is the open member with the smallest share of n-grams of its own.
+    # Open: not connected to the last pivot. The pivot of a tree node is the open member with the smallest share of n-grams of its own.
     order = F.struct((1 - F.col("common") / F.col("n")).alias("own"), *_STATE)
     for turn in range(PIVOT_ROUNDS):
         pivot = (
@@ -330,37 +332,42 @@ def _links(paths: DataFrame) -> DataFrame | None:
         part = components(found)
         judged = _with_parts(members.join(tested, ["pivot", "node"], "left"), part).withColumns(
             {
-                "linked": F.coalesce("linked", F.lit(False)) | _connected(),
+                # Of two members in different components one is open at least; links are in the components.
+                "open": ~_connected(),
                 # Not walked: the bound on what they have in common gives one on the distance.
                 "distance": F.coalesce("distance", F.expr(f"1 - {_MOST} / (n + pivot_n - {_MOST})")),
+                # Without an overlap the distance is a lower bound only.
+                "farthest": F.when(F.col("overlap").isNull(), F.lit(1.0)).otherwise(F.col("distance")),
                 "inner": F.coalesce("overlap", "common"),
                 "outer": F.col("common") - F.coalesce("overlap", F.lit(0)),
             }
         )
         if not turn:
             judged = judged.withColumns({"first_inner": F.col("inner"), "first_outer": F.col("outer")})
-        judged = judged.withColumn("open", F.col("open") & ~F.col("linked"))
-        judged = stage(judged.select("gram", *_STATE, "distance"), "judged")
+        judged = stage(judged.select("gram", *_STATE, "distance", "farthest"), "judged")
         when_open = lambda what: F.when(F.col("open"), F.expr(what))
         reach = judged.groupBy("gram").agg(
             (F.min(when_open("distance")) - (1 - NUM / DEN) - 1e-9).alias("nearest"),
             F.max(when_open(_REACH)).alias("largest"),
             F.max(when_open(_INNER)).alias("largest_inner"),
-            F.min(when_open("n")).alias("smallest"),
-            F.min("n").alias("least_n"),
+            F.min(when_open(f"n * {NUM}")).alias("smallest"),
+            F.min(F.expr(f"n * {NUM}")).alias("least_n"),
             F.min(F.expr(_OUTER)).alias("least_outer"),
         )
         stays = F.when(F.col("open"), F.expr(f"{_REACH} >= least_n and {_INNER} >= least_outer")).otherwise(
-            F.expr(f"distance >= nearest and n <= largest and {_REACH} >= smallest and {_OUTER} <= largest_inner")
+            F.expr(f"farthest >= nearest and n * {NUM} <= largest and {_REACH} >= smallest and {_OUTER} <= largest_inner")
         )
         places = stage(judged.join(reach, "gram").where(stays).select("gram", *_STATE), "places")
-    # A pair meets in every tree node that both are left in; the first of these has it.
+    # A pair meets in every tree node that both are left in; the first of these has it. Where all are connected, none is left.
+    places = places.join(part.select(F.col("id").alias("node"), F.col("component").alias("part")), "node", "left")
+    places = places.withColumn("part", F.coalesce("part", "node"))
+    apart = places.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gram")
+    places = stage(places.join(apart, "gram"), "places")
     own = places.groupBy("node").agg(F.array_sort(F.collect_set("gram")).alias("grams"))
     places = places.join(own, "node")
-    other = places.select("gram", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in [*_STATE[1:], "grams"]])
-    rest = places.join(other, "gram").where(f"pivot < node and (open or pivot_open) and {_ENOUGH} and gram = array_min(array_intersect(grams, pivot_grams))")
-    rest = _with_parts(rest.select("pivot", "node", *_STATE[1:], *[f"pivot_{c}" for c in _STATE[1:]]), part)
-    edges = _tested(rest.where(~_connected()), paths).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    other = places.select("gram", F.col("node").alias("pivot"), *[F.col(c).alias(f"pivot_{c}") for c in [*_STATE[1:], "part", "grams"]])
+    rest = places.join(other, "gram").where(f"pivot < node and part <> pivot_part and {_ENOUGH} and gram = array_min(array_intersect(grams, pivot_grams))")
+    edges = _tested(rest, paths).where("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     return edges if found is None else found.unionByName(edges)
 
 

@@ -83,3 +83,22 @@ def test_pairs_astride_the_size_switch(spark):
         both, either = len(sets[i] & sets[i + 1]), len(sets[i] | sets[i + 1])
         want |= {(i, len(sets[i]), i), (i + 1, len(sets[i + 1]), i if 100 * both >= 75 * either else i + 1)}
     assert got == want | {(len(rows) - 1, len(sets[-1]), len(rows) - 1)}
+
+
+def test_families_of_small_sets(spark):
+    """Members that different pivots closed, with links only between those: many families, each with words of its own."""
+    rows = []
+    for seed in range(300):
+        rng = random.Random(seed)
+        base = [f"f{seed}w{k}" for k in range(rng.randrange(10, 25))]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.choice([rng.randrange(len(words)), 0, len(words) - 1])
+                words[at : at + rng.randrange(2)] = [f"f{seed}x{rng.randrange(6)}"] if rng.random() < 0.6 else []
+            rows.append((len(rows), " ".join(words)))
+    got = {tuple(r) for r in ngram_join(spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA).repartition(8)).collect()}
+    want = set()
+    for at in range(0, len(rows), 40):
+        want |= brute.ngram_join(rows[at : at + 40])
+    assert got == want
