@@ -3,7 +3,10 @@
 Two codebooks, one per half of the vector, span a product grid of cells. A vector is stored in its nearest cell and visits
 the cells with the smallest sums of half distances: the pair (i-th nearest, j-th nearest) can be among the first T only if
 i * j <= T, so the traversal looks at few pairs. T is the number of cells that reach TARGET of the linked pairs of a
-sample, compared by brute force. What shares a visited cell is verified by cosine in double precision.
+sample, compared by brute force. Where MOST_VISITS cells don't reach them (a large family of near copies draws many codes
+and spreads over thousands of cells), the codebooks are fitted anew with half the codes, until they do: at the latest when
+all cells are visited. A sample of a larger table with too few linked pairs to tell TARGET is helped by pairs made at
+the cosine LINK. What shares a visited cell is verified by cosine in double precision.
 
 The codebooks are fitted on a bounded sample (SAMPLE vectors, by hash of the id); every vector is indexed and every vector
 visits. Equal vectors are one entry with a count. A cell with many entries is dealt in blocks of bounded size against blocks
@@ -30,6 +33,7 @@ TARGET = 0.999
 PER_CELL = 32
 MOST_CODES = 256
 LEAST_VISITS = 8
+MOST_VISITS = 512
 BLOCK, VISITORS = 1024, 4096
 
 
@@ -67,25 +71,47 @@ class Grid:
         return np.concatenate(out)
 
 
+def _needed(sample: np.ndarray, grid: Grid, made: bool) -> np.ndarray:
+    """How many linked pairs of the sample are met at each visit (from 1); the last place counts those that are missed."""
+    cells = grid.walk(sample)
+    width = cells.shape[1]
+    rank = np.full(len(grid.first) * len(grid.second), width + 1)
+    met = np.zeros(width + 2, np.int64)
+
+    def add(x: int, others: np.ndarray) -> None:
+        rank[cells[x]] = np.arange(1, width + 1)
+        met[:] += np.bincount(rank[others], minlength=width + 2)
+        rank[cells[x]] = width + 1
+
+    for at in range(0, len(sample), 1024):
+        linked = sample[at : at + 1024] @ sample.T >= LINK
+        for x in range(len(linked)):
+            linked[x, at + x] = False
+            others = np.flatnonzero(linked[x])
+            if len(others):
+                add(at + x, cells[others, 0])
+    if made and met.sum() * (1 - TARGET) < 1:
+        aside = np.random.default_rng(0).normal(size=sample.shape)
+        aside -= (aside * sample).sum(1, keepdims=True) * sample
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        near = Grid(grid.first, grid.second, 1).walk(LINK * sample + np.sqrt(1 - LINK**2) * aside)
+        for x in range(len(sample)):
+            add(x, near[x, :1])
+    return met
+
+
 def fit(sample: np.ndarray, n: int) -> Grid:
     """Codebooks for n vectors, and as many visits as the sample's linked pairs need."""
     k = int(min(max(np.ceil(np.sqrt(n / PER_CELL)), 1), MOST_CODES, len(sample)))
     half = sample.shape[1] // 2
-    first, second = codebook(sample[:, :half], k), codebook(sample[:, half:], k)
-    most = k * k
-    full = Grid(first, second, min(most, 512))
-    cells = full.walk(sample)
-    needed = []
-    for at in range(0, len(sample), 1024):
-        x, y = np.nonzero(sample[at : at + 1024] @ sample.T >= LINK)
-        apart = x + at != y
-        x, y = x[apart] + at, y[apart]
-        if len(x):
-            seen = cells[x] == cells[y, :1]
-            needed.append(np.where(seen.any(1), seen.argmax(1) + 1, full.visits))
-    ranks = np.sort(np.concatenate(needed)) if needed else np.array([1])
-    visits = int(ranks[min(int(np.ceil(TARGET * len(ranks))), len(ranks)) - 1])
-    return Grid(first, second, min(max(visits, LEAST_VISITS), most))
+    while True:
+        first, second = codebook(sample[:, :half], k), codebook(sample[:, half:], k)
+        most = min(k * k, MOST_VISITS)
+        met = np.cumsum(_needed(sample, Grid(first, second, most), n > len(sample)))
+        visits = int(np.searchsorted(met, np.ceil(TARGET * met[-1]))) if met[-1] else 1
+        if visits <= most:
+            return Grid(first, second, min(max(visits, LEAST_VISITS), k * k))
+        k = max(k // 2, 1)
 
 
 def _unit(vectors: pa.Array, length: int) -> np.ndarray:

@@ -1,7 +1,7 @@
 import brute
 import numpy as np
 
-from palate.llm.embed_dedup import embed_dedup
+from palate.llm.embed_dedup import LINK, TARGET, embed_dedup, fit
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, id string"
 
@@ -29,3 +29,35 @@ def test_recall_and_precision(spark):
 
 def test_empty(spark):
     assert embed_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def recall(grid, x):
+    cells = grid.walk(x)
+    met = all_ = 0
+    for i in range(len(x)):
+        linked = x @ x[i] >= LINK
+        linked[i] = False
+        met += np.isin(cells[linked, 0], cells[i]).sum()
+        all_ += linked.sum()
+    return met / max(all_, 1)
+
+
+def test_target_is_met_for_a_family_of_a_third():
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    # Spread in the family: cosines of 0.95 to 0.99 between its members.
+    near = rng.normal(size=(1, 64)) * 1.0 + rng.normal(size=(1200, 64)) * rng.uniform(0.1, 0.22, (1200, 1))
+    x = unit(rng.permutation(np.r_[rng.normal(size=(2400, 64)), near]))
+    sample, others = x[:2400], x[2400:]
+    got = recall(fit(sample, 2_000_000), sample), recall(fit(sample, 2_000_000), others)
+    print(got)
+    assert got[0] >= TARGET and got[1] >= 0.99
+
+
+def test_a_sample_without_links_is_helped():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside = rng.normal(size=x.shape) * 0.1
+    y = (x + aside) / np.linalg.norm(x + aside, axis=1, keepdims=True)
+    assert recall(fit(x, 200_000), np.r_[x[:700], y[:700]]) >= 0.99
