@@ -4,12 +4,13 @@ A page is a stream of tokens: tags and text. A wrapper is a sequence of nodes: a
 repeated group. Pages are folded into the wrapper of their host one by one: equal tokens stay; a text mismatch becomes a slot;
 for a tag mismatch the shortest skip on either side that finds the other's next token again becomes a repeated group if it
 repeats what stands before it, else an optional group. Tasks fold their own pages; the wrappers of a host, one per task, are
-folded in turn. A wrapper has no more nodes than MAX_NODES: streams are collapsed (runs of equal blocks count once), and what
-goes beyond is left to the rules below.
+folded in turn. Nothing is cut: streams are collapsed (runs of equal blocks count once), and where two unmatched nodes differ
+in marks only, one node with ANY for these marks takes both, so marks that change from page to page add no nodes.
 
 The main region is the wrapper's article, or else main, or else the container with most slots outside of navigation,
-headers, footers, sidebars, notices, adverts, forms and comments; a page's text is that of its blocks in the region. A page
-without the region of its wrapper, or of a host without one, has its own region by the same rule.
+headers, footers, sidebars, notices, adverts, forms and comments; a page's text is that of its blocks in the region. An
+article or main of the page itself goes before a container of the wrapper. A page without the region of its wrapper, or of
+a host without one, has its own region by the same rule.
 
 Defined results: null and empty pages give an empty text; pages without url are one host; broken markup is read as far as it
 goes, an unclosed element ends with its parent; repeated rows are extracted each; an empty table gives an empty result.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from palate.llm.common import bound_batches
 
-MAX_NODES = 400
+ANY = "*"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?=[/a-zA-Z])[^>]*\Z", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 # Elements without content, raw text, blocks, and what is no main text.
@@ -125,7 +126,7 @@ def stream(page: str) -> list[str]:
         item = ("-" if aside else "+") + "/".join(path)
         if not out or out[-1] != item:
             out.append(item)
-    return out[:MAX_NODES]
+    return out
 
 
 def align(wrapper: list, other: list) -> list:
@@ -146,12 +147,30 @@ def align(wrapper: list, other: list) -> list:
         elif skip_b is not None:
             out += _group(out, other[j : j + skip_b])
             j += skip_b
+        elif (both := _joined(a_items[i], b_items[j])) is not None:
+            out.append([both, max(wrapper[i][1], other[j][1])])
+            i, j = i + 1, j + 1
         else:
             out += [[a_items[i], max(wrapper[i][1], 1)], [b_items[j], max(other[j][1], 1)]]
             i, j = i + 1, j + 1
     for rest in (wrapper[i:], other[j:]):
         out += _group(out, rest)
-    return out[:MAX_NODES]
+    return out
+
+
+def _joined(a: str, b: str) -> str | None:
+    """The item that takes both, if they differ in marks only."""
+    if a[0] != b[0]:
+        return None
+    x, y = a[1:].split("/"), b[1:].split("/")
+    if [p.split(".")[0] for p in x] != [p.split(".")[0] for p in y]:
+        return None
+    return a[0] + "/".join(p if p == q else f"{p.split('.')[0]}.{ANY}" for p, q in zip(x, y))
+
+
+def _inside(path: tuple[str, ...], at: str) -> bool:
+    parts = at.split("/")
+    return len(path) >= len(parts) and all(a == p or a.endswith(f".{ANY}") and a.split(".")[0] == p.split(".")[0] for a, p in zip(parts, path))
 
 
 def _group(before: list, group: list) -> list:
@@ -183,10 +202,12 @@ def region(wrapper: list) -> str | None:
 
 def main_text(page: str, wrapper: list | None) -> str:
     found = blocks(page)
-    for at in (region(wrapper) if wrapper else None, region([[("-" if a else "+") + "/".join(p), 0] for p, a, _ in found])):
+    regions = [region(wrapper) if wrapper else None, region([[("-" if a else "+") + "/".join(p), 0] for p, a, _ in found])]
+    is_main = lambda at: at is not None and at.split("/")[-1].split(".")[0] in ("article", "main")
+    for at in sorted(regions, key=lambda at: not is_main(at)):
         if at is None:
             continue
-        inside = [t for p, aside, t in found if not aside and ("/".join(p) == at or "/".join(p).startswith(at + "/"))]
+        inside = [t for p, aside, t in found if not aside and _inside(p, at)]
         if inside:
             return "\n".join(inside)
     return "\n".join(t for _, aside, t in found if not aside)

@@ -1,4 +1,4 @@
-from palate.llm.html_wrappers import align, extract, main_text, region, wrappers
+from palate.llm.html_wrappers import align, extract, main_text, region, stream, wrappers
 
 SCHEMA = "page_id bigint, url string, html string, host string, text string"
 PAGE = (
@@ -32,3 +32,22 @@ def test_query(spark):
     assert all(text[i] == "\n".join(["A & b", "One", "Two three <x>", *[f"n{i}"] * i]) for i in range(6))
     assert text[9] == text[10] == "" and all(r[3] == len(r[2]) for r in got)
     assert extract(df.where("false")).collect() == []
+
+
+def test_blocks_that_differ_from_page_to_page():
+    page = '<html><body><div id="top{i}"><p>block {i}</p></div><article><h1>T{i}</h1><p>text {i}</p></article></body></html>'
+    plain = '<html><body><div id="top{i}"><p>block {i}</p></div><div class="text"><h2>T{i}</h2><p>text {i}</p><ul><li>{i}</li></ul><h3>x</h3></div></body></html>'
+    for form, last in ((page, ""), (plain, "\n{i}\nx")):
+        wrapper = []
+        for i in range(450):
+            other = [[x, 0] for x in stream(form.replace("{i}", str(i)))]
+            wrapper = align(wrapper, other) if wrapper else other
+        assert len(wrapper) <= 6
+        assert main_text(form.replace("{i}", "7"), wrapper) == f"T7\ntext 7{last}".replace("{i}", "7")
+
+
+def test_an_article_after_many_blocks():
+    many = "".join(f'<div class="a{i}"><p>b{i}</p></div>' for i in range(500))
+    page = f"<html><body>{many}<article><h1>T</h1><p>text</p></article></body></html>"
+    assert len(stream(page)) == 502
+    assert main_text(page, [[x, 0] for x in stream(page)]) == main_text(page, [["+html/body/p", 0]]) == "T\ntext"
