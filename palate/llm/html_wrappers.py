@@ -7,6 +7,10 @@ repeats what stands before it, else an optional group. Tasks fold their own page
 folded in turn. Nothing is cut: streams are collapsed (runs of equal blocks count once), and where two unmatched nodes differ
 in marks only, one node with ANY for these marks takes both, so marks that change from page to page add no nodes.
 
+Text is told from template by host: a block whose text stands at the same path (names without marks) on more than half of
+the host's different pages, and on CONSTANT pages at least, is constant; all other text is a slot. In a container, constant
+blocks are left out, unless nothing else is there. An article or main is taken whole.
+
 The main region is the wrapper's article, or else main, or else the container with most slots outside of navigation,
 headers, footers, sidebars, notices, adverts, forms and comments; a page's text is that of its blocks in the region. An
 article or main of the page itself goes before a container of the wrapper. A page without the region of its wrapper, or of
@@ -18,6 +22,7 @@ goes, an unclosed element ends with its parent; repeated rows are extracted each
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -28,8 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palate.llm.common import bound_batches
+from palate.session import stage
 
 ANY = "*"
+CONSTANT = 3
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(?=[/a-zA-Z])[^>]*\Z", re.S)
 _MARK = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 # Elements without content, raw text, blocks, and what is no main text.
@@ -200,17 +207,25 @@ def region(wrapper: list) -> str | None:
     return max(counts, key=lambda c: (counts[c] * 2 > len(inside), c.count("/") if counts[c] * 2 > len(inside) else counts[c])) if counts else None
 
 
-def main_text(page: str, wrapper: list | None) -> str:
+def _key(path: tuple[str, ...], text: str) -> int:
+    """A block by its path without marks and its text."""
+    said = "/".join(p.split(".")[0] for p in path) + "\n" + text
+    return int.from_bytes(hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def main_text(page: str, wrapper: list | None, constant: frozenset[int] = frozenset()) -> str:
     found = blocks(page)
     regions = [region(wrapper) if wrapper else None, region([[("-" if a else "+") + "/".join(p), 0] for p, a, _ in found])]
     is_main = lambda at: at is not None and at.split("/")[-1].split(".")[0] in ("article", "main")
     for at in sorted(regions, key=lambda at: not is_main(at)):
         if at is None:
             continue
-        inside = [t for p, aside, t in found if not aside and _inside(p, at)]
+        inside = [(p, t) for p, aside, t in found if not aside and _inside(p, at)]
         if inside:
-            return "\n".join(inside)
-    return "\n".join(t for _, aside, t in found if not aside)
+            slots = [] if is_main(at) else [t for p, t in inside if _key(p, t) not in constant]
+            return "\n".join(slots or [t for _, t in inside])
+    rest = [(p, t) for p, aside, t in found if not aside]
+    return "\n".join([t for p, t in rest if _key(p, t) not in constant] or [t for _, t in rest])
 
 
 def _host(url: str):
@@ -248,6 +263,23 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return named.mapInArrow(_infer, "host string, wrapper string").groupBy("host").applyInArrow(_fold, "host string, wrapper string")
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [sorted({_key(p, t) for p, aside, t in blocks(page) if not aside}) for page in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(keys, pa.list_(pa.int64()))], ["host", "page", "keys"])
+
+
+def constants(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, constant): the keys of the host's constant blocks; equal pages count once."""
+    bound_batches(pages.sparkSession)
+    named = pages.select(_host(url_col).alias("host"), F.xxhash64(html_col).alias("page"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    each = stage(named.mapInArrow(_keys, "host string, page bigint, keys array<bigint>").where("size(keys) > 0").dropDuplicates(["host", "page"]), "blocks")
+    n_pages = each.groupBy("host").agg(F.count("*").alias("n_pages"))
+    met = each.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= CONSTANT)
+    # More than half of the pages: a host has at most twice as many constant blocks as a page has blocks.
+    return met.join(n_pages, "host").where("2 * n > n_pages").groupBy("host").agg(F.collect_list("key").alias("constant"))
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
 
@@ -255,16 +287,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         parsed: dict[str, list] = {}
         for batch in batches:
             text = []
-            for page, wrapper in zip(batch.column("html").to_pylist(), batch.column("wrapper").to_pylist()):
+            for page, wrapper, constant in zip(*(batch.column(c).to_pylist() for c in ("html", "wrapper", "constant"))):
                 if wrapper is not None and wrapper not in parsed:
                     if len(parsed) > 1000:
                         parsed.clear()
                     parsed[wrapper] = json.loads(wrapper)
-                text.append(main_text(page, parsed.get(wrapper)))
+                text.append(main_text(page, parsed.get(wrapper), frozenset(constant or ())))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string())], ["id", "url", "text"])
 
     kind = dict(pages.dtypes)[id_col]
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), _host(url_col).alias("host"))
-    found = named.join(wrappers(pages, url_col, html_col), "host", "left").select("id", "url", "html", "wrapper")
+    found = named.join(wrappers(pages, url_col, html_col), "host", "left")
+    found = found.join(constants(pages, url_col, html_col), "host", "left").select("id", "url", "html", "wrapper", "constant")
     out = found.mapInArrow(run, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

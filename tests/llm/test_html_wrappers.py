@@ -51,3 +51,13 @@ def test_an_article_after_many_blocks():
     page = f"<html><body>{many}<article><h1>T</h1><p>text</p></article></body></html>"
     assert len(stream(page)) == 502
     assert main_text(page, [[x, 0] for x in stream(page)]) == main_text(page, [["+html/body/p", 0]]) == "T\ntext"
+
+
+def test_template_text_is_left_out(spark):
+    page = "<html><body><div class='m1'><p>Home</p><p>Shop now</p></div><div><p>Text {i}.</p><p>More of {i}.</p></div><p>All times are UTC</p></body></html>"
+    rows = [(i, f"https://t.org/{i}", page.replace("{i}", str(i)), "", "") for i in range(5)] + [(9, "https://u.org/", page, "", "")]
+    rows += [(20 + i, "https://same.org/", page, "", "") for i in range(4)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i] == f"Text {i}.\nMore of {i}." for i in range(5))
+    # One page, or copies of one, tell nothing apart.
+    assert got[9] == got[20] == "Home\nShop now\nText {i}.\nMore of {i}.\nAll times are UTC"
