@@ -1,8 +1,10 @@
 """License scans by canonical digest.
 
-A unit of text (a whole document, and each of its lines) is normalised: lower case, equivalent spellings, without copyright
+A unit of text (a whole document, each of its lines, and each paragraph of several lines) is normalised: lower case, equivalent spellings, without copyright
 lines, punctuation and repeated space. Its SHA-256 is hash-joined to the digests of known licence texts and notices; only
-an entire unit matches. The known table is a constant of this module, so its side of the join has a fixed size.
+an entire unit matches. Known texts are a table of the caller's, by default KNOWN and the full texts in ``licences/``, with
+and without the usual titles. Units of a length that no known text has are not hashed. Paragraphs add to ``licences``, not to
+the count of lines; the SQL form knows the notices of KNOWN and no paragraphs.
 
 Defined results: null and empty texts have no units and match nothing; a text of copyright lines only is empty; repeated lines
 count each; repeated rows are scanned each; an empty table gives an empty result; other columns are not read.
@@ -10,6 +12,8 @@ count each; repeated rows are scanned each; an empty table gives an empty result
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,13 @@ KNOWN = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
     ),
 )
+# Titles that may stand before a full text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"),
+    "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License"),
+}
 # Equivalent spellings.
 SPELLINGS = (("licence", "license"), ("sub-license", "sublicense"), ("noncommercial", "non-commercial"), ("organisation", "organization"), ("favour", "favor"))
 _COPYRIGHT = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
@@ -46,30 +57,52 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, _KEPT, " "))
 
 
-def known(spark: SparkSession) -> DataFrame:
-    """(digest, licence) of the known texts."""
-    rows = spark.createDataFrame(list(KNOWN), "licence string, text string")
-    return rows.select(F.sha2(normal(F.col("text")), 256).alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+def full_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the full licences, in the forms that they are given in."""
+    out = []
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        name, text = path.name.removesuffix(".txt").removesuffix(".regents"), path.read_text()
+        forms = [text]
+        if "END OF TERMS AND CONDITIONS" in text:
+            terms = text[: text.index("END OF TERMS AND CONDITIONS")]
+            forms += [terms, terms + "END OF TERMS AND CONDITIONS"]
+        for form in list(forms):
+            forms += [f"{title}\n\n{rights}{form}" for title in ("", *TITLES.get(name, ())) for rights in ("", "All rights reserved.\n\n")]
+        out += [(name, form) for form in dict.fromkeys(forms)]
+    return out
+
+
+def known(spark: SparkSession, texts: DataFrame | None = None) -> DataFrame:
+    """(digest, length, licence) of the known texts (licence, text)."""
+    rows = spark.createDataFrame([*KNOWN, *full_texts()], "licence string, text string") if texts is None else texts.select("licence", "text")
+    rows = rows.withColumn("text", normal(F.col("text"))).where("text <> ''")
+    return stage(
+        rows.select(F.sha2("text", 256).alias("digest"), F.length("text").alias("length"), "licence").groupBy("digest", "length").agg(F.min("licence").alias("licence")),
+        "known",
+    )
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: DataFrame | None = None) -> DataFrame:
     """One row per document: id, whole_licence, n_licence_lines, licences (distinct, sorted, comma-joined)."""
-    longest = max(len(t) for _, t in KNOWN)
+    names = known(docs.sparkSession, texts)
+    lengths = [r[0] for r in names.select("length").distinct().collect()]
+    digests = lambda units: F.transform(F.filter(F.transform(units, normal), lambda u: F.length(u).isin(lengths)), lambda u: F.sha2(u, 256))
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda line: F.length(line) > 0)
+    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n\s*", -1), lambda p: F.trim(p).contains("\n"))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.sha2(F.nullif(normal(text), F.lit("")), 256).alias("whole"),
-        # A line of a known length times a margin can be one; normalising only shortens a line's words by spellings.
-        F.transform(F.filter(F.transform(lines, normal), lambda line: F.length(line) <= longest), lambda line: F.sha2(line, 256)).alias("lines"),
+        digests(lines).alias("lines"),
+        digests(paragraphs).alias("paragraphs"),
     )
     rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "units")
-    units = rows.select("row", F.lit(True).alias("is_whole"), F.col("whole").alias("digest")).unionByName(
-        rows.select("row", F.lit(False).alias("is_whole"), F.explode("lines").alias("digest"))
-    )
-    met = units.join(F.broadcast(known(docs.sparkSession)), "digest").groupBy("row").agg(
-        F.max(F.when(F.col("is_whole"), F.col("licence"))).alias("whole_licence"),
-        F.sum((~F.col("is_whole")).cast("long")).alias("n"),
+    units = rows.select("row", F.lit("whole").alias("kind"), F.col("whole").alias("digest"))
+    for kind in ("lines", "paragraphs"):
+        units = units.unionByName(rows.select("row", F.lit(kind).alias("kind"), F.explode(kind).alias("digest")))
+    met = units.join(F.broadcast(names) if texts is None else names, "digest").groupBy("row").agg(
+        F.max(F.when(F.col("kind") == "whole", F.col("licence"))).alias("whole_licence"),
+        F.sum((F.col("kind") == "lines").cast("long")).alias("n"),
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("licences"),
     )
     return rows.join(met, "row", "left").select(

@@ -3,7 +3,7 @@ import random
 from collections import defaultdict
 
 from palate.llm.chat_repair import COSTS, STATES, chat_repair, forward, moves
-from palate.llm.license_scan import license_scan
+from palate.llm.license_scan import full_texts, license_scan
 
 
 def least(roles):
@@ -66,3 +66,17 @@ def test_licences(spark):
         (4, None, 0, ""),
         (5, None, 0, ""),
     ]
+
+
+def test_full_texts_and_wrapped_notices(spark):
+    full = dict(reversed(full_texts()))
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0"} <= set(full)
+    rows = [(f"full {n}", t) for n, t in full.items()]
+    rows += [("mit", "The MIT License (MIT)\n\nCopyright (c) 2020 Me\n\n" + full["MIT"].replace("\n", " "))]
+    rows += [("wrapped", "Text.\n\n  This work is licensed under the GNU General\n  Public Licence, version 3.\n \nMore."), ("own", "x\n\nMy own\nterms")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan(df).collect()}
+    assert all(got[f"full {n}"][0] == n for n in full) and got["mit"][0] == "MIT"
+    assert got["wrapped"] == (None, 0, "GPL-3.0") and got["own"] == (None, 0, "")
+    given = license_scan(df, texts=spark.createDataFrame([("Own", "my own terms")], "licence string, text string")).collect()
+    assert [r.doc_id for r in given if r.licences] == ["own"]
