@@ -2,6 +2,9 @@
 
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -44,3 +47,17 @@ def test_entry_runs(spark):
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert all(re.fullmatch(r"(op|[a-z])\d+_[a-z0-9_]+|pipeline", name) for name in entry.queries())
+
+
+def test_core_stands_alone(tmp_path):
+    """Without the training-data folders and the pipeline, or without their libraries, all core queries still register."""
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    core = {name for name in entry.queries() if not re.fullmatch(r"op\d+_.*|pipeline", name)}
+    skip = shutil.ignore_patterns("llm", ".git", "corpus_pipeline.py", "__pycache__")
+    shutil.copytree(here, tmp_path / "bare", ignore=skip)
+    shutil.copytree(here, tmp_path / "no_library", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    (tmp_path / "no_library" / "public_tokenizers.py").write_text("raise ImportError('not here')")
+    for folder in ("bare", "no_library"):
+        code = "import __spark_entry__ as e; print('\\n'.join(e.queries()))"
+        run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / folder, capture_output=True, text=True, check=True)
+        assert set(run.stdout.split()) == core
