@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import bpe, chat_repair, html_wrappers, license_scan, mixing, pii, quality_rules
+from palate.llm import bpe, chat_repair, html_wrappers, license_scan, mixing, pii, quality_rules, token_align
 from palate.llm.common import documents
 from palate.llm.embed_dedup import embed_dedup
 from palate.llm.ngram_join import ngram_join
@@ -79,3 +79,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_chat_repair")
 def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.chat_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op13_token_align")
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_align.report(documents(spark, sf_dir), a, b)
