@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from palate.llm import bpe, chat_repair, html_wrappers, license_scan, mixing, pii, quality_rules, token_align
+from palate.llm import bpe, chat_repair, cover_codes, html_wrappers, license_scan, mixing, pii, quality_rules, token_align, warc_zstd
 from palate.llm.common import documents
 from palate.llm.embed_dedup import embed_dedup
 from palate.llm.ngram_join import ngram_join
@@ -81,6 +81,16 @@ def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_repair.chat_repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+@query("op11_cover_codes", cover_codes.SQL)
+def op11_cover_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_codes.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query("op12_warc_zstd", warc_zstd.SQL)
+def op12_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zstd.report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query("op13_token_align")
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")

@@ -37,6 +37,7 @@ BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 20_000
 #: Texts of so many bytes are encoded and aligned at once.
 STEP_BYTES = 1 << 20
 LONG_RUN = 1000
+LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
 # Fixed value: how this byte-level tokenizer splits a text before merging.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,7 +67,6 @@ class ByteLevel:
         ranks = {b: i for i, b in enumerate(self.table) if b}
         self.fast = tiktoken.Encoding("side_a", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.path = path
-        self.run = re.compile(r"(?:[^\W\d_]|[^\x00-\x7f]){%d}|\d{%d}|\s{%d}|[^\w\s]{%d}|_{%d}" % ((LONG_RUN,) * 5))
 
     @functools.cached_property
     def exact(self):
@@ -82,7 +82,8 @@ class ByteLevel:
         return [self._one(t) for t in texts]
 
     def _one(self, text: str) -> list[int]:
-        if len(text) < LONG_RUN or not self.run.search(text):
+        long = len(text) >= LONG_RUN and (max(map(len, text.split()), default=0) >= LONG_RUN or LONG_SPACE.search(text))
+        if not long:
             try:
                 return self.fast.encode_ordinary(text)
             except Exception:  # its regular expression gives up on some texts
@@ -145,7 +146,7 @@ class Batch:
             self.b.append(theirs)
         self.n_a = np.array([len(x) for x in self.a], np.int64)
         self.n_b = np.array([len(x) for x in self.b], np.int64)
-        ids = lambda lists: np.fromiter((i for x in lists for i in x), np.int64)
+        ids = lambda lists: np.concatenate([np.zeros(0, np.int64), *[np.array(x, np.int64) for x in lists if x]])
         self.a_id, self.b_id = ids(self.a), ids(self.b)
         a_size, b_size = _sizes(a_path, b_path)
         a_end, b_end = np.cumsum(a_size[self.a_id]), np.cumsum(b_size[self.b_id])
