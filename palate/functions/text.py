@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palate.functions.indel import indel_ratios
+
 # What is cut from a lower-cased title, in this order.
 SOUNDTRACK_TAILS = [
     r"""\s*-\s*from\s+["'].*?["'].*$""",
     r"\s*-\s*original\s+soundtrack.*$",
 ]
 BRACKETED = r"\s*[\(\[\{].*?[\)\]\}]"
-EDITION_TAIL = (
-    r"\s*-\s*(remaster(ed)?(\s*\d{2,4})?|live|radio\s*edit|single\s*version|album\s*version"
-    r"|mono|stereo|deluxe|bonus\s*track).*$"
-)
+EDITION_TAIL = r"\s*-\s*(remaster(ed)?(\s*\d{2,4})?|live|radio\s*edit|single\s*version|album\s*version|mono|stereo|deluxe|bonus\s*track).*$"
 GUEST_TAIL = r"\s*(feat\.|ft\.|with)\s+.*$"
 NOT_TITLE_TEXT = r"[^a-z0-9\s]"
 ARTIST_SEPARATOR = ", "
@@ -45,20 +47,36 @@ def normalize_title(col: Column, strip_parentheses: bool = False) -> Column:
     return F.trim(_cut(out, r"\s+", " "))
 
 
-def _latin_accents() -> tuple[str, str]:
-    """Accented Latin letters whose decomposition is one ASCII letter plus marks, by rule."""
-    pairs = []
-    for code in range(0x00C0, 0x0250):
-        plain = [c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128]
-        if len(plain) == 1 and plain[0] != chr(code):
-            pairs.append((chr(code), plain[0]))
-    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+@functools.cache
+def _ascii_forms() -> dict[str, str]:
+    """Every character whose compatibility decomposition holds ASCII, with that ASCII part, by rule."""
+    forms = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if ord(c) < 128)
+        if plain:
+            forms[chr(code)] = plain
+    return forms
+
+
+def fold_to_ascii(col: Column) -> Column:
+    """Accents, full-width and styled letters to ASCII; characters without an ASCII form stay.
+
+    One-letter forms are one native translation. Ligatures, fractions and the like are looked up character by
+    character, in names that hold one.
+    """
+    forms = _ascii_forms()
+    single = {c: f for c, f in forms.items() if len(f) == 1}
+    out = F.translate(col, "".join(single), "".join(single.values()))
+    more = {c: f for c, f in forms.items() if len(f) > 1}
+    known = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    held = "[" + "".join(more) + "]"
+    each = F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
+    return F.when(out.rlike(held), F.array_join(each, "")).otherwise(out)
 
 
 def normalize_artist(col: Column) -> Column:
-    """Latin accents folded natively; letters of other scripts are dropped."""
-    accented, plain = _latin_accents()
-    out = F.lower(F.translate(F.coalesce(col, F.lit("")), accented, plain))
+    """Folded to ASCII natively; letters without an ASCII form are dropped."""
+    out = F.lower(fold_to_ascii(F.coalesce(col, F.lit(""))))
     out = _cut(out, NOT_TITLE_TEXT)
     return F.trim(_cut(out, r"\s+", " "))
 
@@ -83,35 +101,15 @@ def join_artists(col: Column) -> Column:
     return F.array_join(col, ARTIST_SEPARATOR)
 
 
-def position_masks(text: str) -> dict[str, int]:
-    """For each character, the bit set of its positions."""
-    masks: dict[str, int] = {}
-    for i, ch in enumerate(text):
-        masks[ch] = masks.get(ch, 0) | (1 << i)
-    return masks
-
-
-def common_length(masks: dict[str, int], length: int, other: str) -> int:
-    """Longest common subsequence, one machine-word style step per character of `other`."""
-    full = (1 << length) - 1
-    row = full
-    for ch in other:
-        hit = row & masks.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return length - row.bit_count()
-
-
 def indel_ratio(a: str, b: str) -> float:
-    if not a and not b:
-        return 100.0
-    return 200.0 * common_length(position_masks(a), len(a), b) / (len(a) + len(b))
+    return float(indel_ratios([a], [b], np.zeros(1, np.int64), np.zeros(1, np.int64))[0])
 
 
 @F.pandas_udf(T.DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Similarity in 0-100 from insertions and deletions only; NULL if either side is NULL."""
     for left, right in pairs:
-        yield pd.Series(
-            [None if a is None or b is None else indel_ratio(a, b) for a, b in zip(left, right)],
-            dtype="float64",
-        )
+        known = (left.notna() & right.notna()).to_numpy()
+        out, each = np.full(len(left), np.nan), np.arange(known.sum())
+        out[known] = indel_ratios(left[known].tolist(), right[known].tolist(), each, each)
+        yield pd.Series(out, dtype="Float64").mask(~known)

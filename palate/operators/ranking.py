@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palate.operators.similarity import nearest_tracks
+from palate.operators.walk import diversify  # noqa: F401
 
-PER_ARTIST = 2
 OVERFETCH = 5
 MMR_POOL = 3
 MMR_TOP_SHARE = 0.3
@@ -57,65 +57,13 @@ def seed_candidates(
     )
     capped = rows.withColumn("_n", F.row_number().over(_best(*keys, "seed_id"))).where(F.col("_n") <= n)
     return (
-        capped.groupBy(*keys, "track_id")
-        .agg(F.min(F.struct((-F.col("sim")).alias("neg"), "seed_id")).alias("top"))
-        .select(*keys, "track_id", (-F.col("top.neg")).alias("sim"), F.col("top.seed_id").alias("seed_id"))
-    )
-
-
-def greedy_window(n: int) -> int:
-    """Rows after which a first pass of n must have ended, once `_shortlist` has thinned the list.
-
-    n accepted rows, the thinned rows of at most n/2 full artists, and those of at most n used titles.
-    """
-    return n + (n // 2) * (n + 1) + n * (n // 2 + 1)
-
-
-def _shortlist(candidates: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """Drop only rows that the first pass cannot accept, whatever the rest of the list is.
-
-    A repeated (artist, title) never passes. While the pass runs fewer than n titles are used, so an
-    artist has its two rows within its first n+1 titles; fewer than n/2+1 artists are full, so a title
-    is taken within its first n/2+1 artists. Each step is keyed more finely than by listener.
-    """
-    # One placement serves the first two steps.
-    thin = candidates.repartition(*keys, "_artist")
-    for part, most in [(["_artist", "_title"], 1), (["_artist"], n + 1), (["_title"], n // 2 + 1), ([], greedy_window(n))]:
-        thin = thin.withColumn("_k", F.row_number().over(_best(*keys, *part))).where(F.col("_k") <= most)
-    return thin.drop("_k")
-
-
-def diversify(candidates: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """Walk each ranked list: at most two rows per artist, no repeated title; fill up in rank order.
-
-    A list of n rows or fewer stays as it is. The walk is sequential, so it runs as a fold over one
-    bounded array per key (`greedy_window`); the thinning before it is exact, nothing is capped.
-    """
-    named = candidates.withColumns({"_artist": F.lower("artists"), "_title": F.lower("track_name")})
-    raw = named.withColumn("_k", F.row_number().over(_best(*keys))).where(F.col("_k") <= 2 * n).drop("_k")
-    payload = [c for c in candidates.columns if c not in keys and c not in ("sim", "track_id")]
-    entry = F.struct((-F.col("sim")).alias("neg"), "track_id", "_artist", "_title", *payload)
-    # Both sides are already placed by key when they are gathered and joined.
-    gather = lambda df, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias(name))
-    lists = gather(_shortlist(named, n, keys), "short").join(gather(raw, "raw"), keys)
-
-    def step(acc, x):
-        same_artist = F.size(F.filter(acc, lambda a: a["_artist"] == x["_artist"]))
-        same_title = F.exists(acc, lambda a: a["_title"] == x["_title"])
-        fits = (F.size(acc) < n) & (same_artist < PER_ARTIST) & ~same_title
-        return F.when(fits, F.array_append(acc, x)).otherwise(acc)
-
-    empty = F.slice("short", 1, 0)
-    picked = lists.withColumn("picked", F.aggregate("short", empty, step))
-    spare = F.filter("raw", lambda r: ~F.exists("picked", lambda p: p["track_id"] == r["track_id"]))
-    filled = F.concat("picked", F.slice(spare, 1, F.lit(n) - F.size("picked")))
-    final = F.when(F.size("raw") <= n, F.col("raw")).otherwise(filled)
-    return picked.select(*keys, F.posexplode(final).alias("pos", "r")).select(
-        *keys,
-        (F.col("pos") + 1).alias("rank"),
-        F.col("r.track_id").alias("track_id"),
-        (-F.col("r.neg")).alias("sim"),
-        *[F.col(f"r.{c}").alias(c) for c in payload],
+        capped.repartition(*keys, "track_id")
+        # Two hash aggregates over one placement: equal scores first give their smallest seed.
+        .groupBy(*keys, "track_id", "sim")
+        .agg(F.min("seed_id").alias("seed_id"))
+        .groupBy(*keys, "track_id")
+        .agg(F.max("sim").alias("best"), F.max_by("seed_id", "sim").alias("seed_id"))
+        .select(*keys, "track_id", F.col("best").alias("sim"), "seed_id")
     )
 
 

@@ -7,15 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palate.functions.text import (
-    ARTIST_ALIASES,
-    artist_list,
-    common_length,
-    indel_ratio,
-    normalize_artist,
-    normalize_title,
-    position_masks,
-)
+from palate.functions.indel import indel_ratios, letter_overlap
+from palate.functions.text import ARTIST_ALIASES, artist_list, normalize_artist, normalize_title
 from palate.operators.ranking import keep_first
 from palate.schema import FEATURES
 from palate.session import stage, task_slots
@@ -51,76 +44,76 @@ def with_titles(df: DataFrame) -> DataFrame:
     )
 
 
-def _score_kernel(album: bool, letters: int = 36):
-    """Best foreign title of every wanted title in one bounded cell of a block."""
-    alphabet = "abcdefghijklmnopqrstuvwxyz0123456789"
+def _possible(lefts: list[str], rights: list[str], level: float) -> tuple[np.ndarray, np.ndarray]:
+    """The highest ratio that shared letters allow each pair, and whether it reaches `level`."""
+    size = np.add.outer([len(t) for t in lefts], [len(t) for t in rights])
+    most = np.where(size > 0, 200.0 * letter_overlap(lefts, rights) / np.maximum(size, 1), 100.0)
+    return most, most >= level
 
-    def counts(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), letters + 1), dtype="int32")
-        for i, text in enumerate(texts):
-            for ch in text:
-                out[i, alphabet.find(ch)] += 1
-        return out
 
-    def bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """No ratio can exceed what the shared letters alone would give."""
-        shared = np.minimum(a[None, :], b).sum(axis=1)
-        total = a.sum() + b.sum(axis=1)
-        return np.where(total > 0, 200.0 * shared / np.maximum(total, 1), 100.0)
+def _artists_meet(mine: list[list[str]], theirs: list[list[str]]) -> np.ndarray:
+    """Whether any artist of a wanted title resembles any artist of a foreign one; each pair of names is compared once."""
 
+    def incidence(lists):
+        names, at = np.unique(np.array([a for x in lists for a in x], object), return_inverse=True) if any(lists) else (np.array([], object), [])
+        held = np.zeros((len(lists), len(names)), np.float32)
+        held[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), at] = 1
+        return names.tolist(), held
+
+    (x_names, x_held), (y_names, y_held) = incidence(mine), incidence(theirs)
+    near = np.zeros((len(x_names), len(y_names)), np.float32)
+    if x_names and y_names:
+        i, j = np.nonzero(_possible(x_names, y_names, ARTIST_THRESHOLD)[1])
+        near[i, j] = indel_ratios(x_names, y_names, i, j) > ARTIST_THRESHOLD
+    return (x_held @ near) @ y_held.T > 0
+
+
+def _score_kernel(album: bool):
+    """Best foreign title of every wanted title in one bounded cell of a block.
+
+    No q-gram need be shared at these thresholds (a ratio of 60 allows 0.4 edits per letter of both titles), so candidates
+    are bounded by shared letters instead, for all pairs by one matrix product; that includes the bound by length.
+    """
     fuzzy, soft, soft_bare = (
         (ALBUM_FUZZY, ALBUM_SOFT, ALBUM_SOFT_BARE) if album else (ARTIST_FUZZY, ARTIST_SOFT, ARTIST_SOFT_BARE)
     )
 
-    def artists_meet(mine: list[str], theirs: list[str]) -> bool:
-        return any(indel_ratio(x, y) > ARTIST_THRESHOLD for x in mine for y in theirs)
-
     def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = {"block": [], "wanted_id": [], "priority": [], "score": [], "foreign_id": []}
-        if left.num_rows and right.num_rows:
-            theirs = right.to_pydict()
-            norm_counts, bare_counts = counts(theirs["norm"]), counts(theirs["bare"])
-            mine = left.to_pydict()
-            mine_norm, mine_bare = counts(mine["norm"]), counts(mine["bare"])
-            for i, wanted in enumerate(mine["wanted_id"]):
-                best = None
-                masks, bare_masks = position_masks(mine["norm"][i]), position_masks(mine["bare"][i])
-                n_norm, n_bare = len(mine["norm"][i]), len(mine["bare"][i])
-                likely = bound(mine_norm[i], norm_counts) >= SOFT_THRESHOLD
-                likely |= bound(mine_bare[i], bare_counts) >= SOFT_THRESHOLD
-                for j in np.nonzero(likely)[0]:
-                    other, other_bare = theirs["norm"][j], theirs["bare"][j]
-                    size = n_norm + len(other)
-                    score = 200.0 * common_length(masks, n_norm, other) / size if size else 100.0
-                    if score >= THRESHOLD:
-                        entry = (fuzzy, -score, theirs["foreign_id"][j])
-                    else:
-                        level = soft
-                        if score < SOFT_THRESHOLD:
-                            size = n_bare + len(other_bare)
-                            score = 200.0 * common_length(bare_masks, n_bare, other_bare) / size if size else 100.0
-                            level = soft_bare
-                        if score < SOFT_THRESHOLD:
-                            continue
-                        entry = (level, -score, theirs["foreign_id"][j])
-                        if best is not None and entry >= best:
-                            continue
-                        if album and not artists_meet(mine["artist_names"][i], theirs["artist_names"][j]):
-                            continue
-                    if best is None or entry < best:
-                        best = entry
-                if best is not None:
-                    for name, value in zip(found, (mine["block"][i], wanted, best[0], -best[1], best[2])):
-                        found[name].append(value)
-        return pa.table(
-            {
-                "block": pa.array(found["block"], pa.string()),
-                "wanted_id": pa.array(found["wanted_id"], pa.int64()),
-                "priority": pa.array(found["priority"], pa.int32()),
-                "score": pa.array(found["score"], pa.float64()),
-                "foreign_id": pa.array(found["foreign_id"], pa.int64()),
-            }
-        )
+        names = ["block", "wanted_id", "priority", "score", "foreign_id"]
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int64()]
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds)})
+        mine = {c: left.column(c).to_pylist() for c in ("norm", "bare")}
+        theirs = {c: right.column(c).to_pylist() for c in ("norm", "bare")}
+        foreign = right.column("foreign_id").to_numpy()
+        most, likely = _possible(mine["norm"], theirs["norm"], SOFT_THRESHOLD)
+        _, bare_likely = _possible(mine["bare"], theirs["bare"], SOFT_THRESHOLD)
+        # The most promising title of each wanted one comes first: it often settles what others must exceed.
+        first = most.argmax(1)
+        score = indel_ratios(mine["norm"], theirs["norm"], np.arange(len(first)), first)
+        floor = np.where(score >= THRESHOLD, score, 0.0)
+        if album:
+            meets = _artists_meet(left.column("artist_names").to_pylist(), right.column("artist_names").to_pylist())
+            likely &= meets | (most >= THRESHOLD)
+            bare_likely &= meets
+        likely &= most >= floor[:, None]
+        bare_likely &= (floor < THRESHOLD)[:, None]
+        i, j = np.nonzero(likely | bare_likely)
+        score = np.zeros(len(i))
+        tried = likely[i, j]
+        score[tried] = indel_ratios(mine["norm"], theirs["norm"], i[tried], j[tried])
+        level = np.where(score >= THRESHOLD, fuzzy, np.where(score >= SOFT_THRESHOLD, soft, soft_bare))
+        again = (score < SOFT_THRESHOLD) & bare_likely[i, j]
+        score[again] = indel_ratios(mine["bare"], theirs["bare"], i[again], j[again])
+        good = score >= SOFT_THRESHOLD
+        if album:
+            good &= (level == fuzzy) | meets[i, j]
+        i, j, level, score = i[good], j[good], level[good], score[good]
+        order = np.lexsort((foreign[j], -score, level, i))
+        best = order[np.append(True, np.diff(i[order]) > 0)[: len(order)]]
+        rows = left.select(["block", "wanted_id"]).take(pa.array(i[best]))
+        values = [*rows.columns, level[best], score[best], foreign[j[best]]]
+        return pa.table({n: pa.chunked_array(v).cast(k) if isinstance(v, pa.ChunkedArray) else pa.array(v, k) for n, k, v in zip(names, kinds, values)})
 
     return kernel
 

@@ -1,6 +1,7 @@
 """Exact nearest tracks by cosine for many query vectors at once.
 
-Both sides are cut into groups by a hash of their unique key, and every (query group, catalog group)
+A catalog of up to CATALOG_ROWS is one group that all query groups meet; a larger one is grouped around centroids, and
+queries visit only groups that can hold one of their k best (`pruned.py`). Query groups are cut by a hash of their unique key, and every
 cell is one bounded matrix product. A cell gets its rows by an equi-join key (`cell`), so the shuffle
 places them; no side is collected, and no cell grows with the data, only the number of cells does.
 Rows a query must not see travel to the one cell that could produce them and are masked there, so a
@@ -13,14 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palate.functions.vectors import RANK_DIGITS
+from palate.operators.pruned import nearest_pruned
 from palate.session import stage, task_slots
 
 QUERY_ROWS = 65536
 CATALOG_ROWS = 65536
+#: Mean size of the groups that a larger catalog is cut into.
+GROUP_ROWS = 16384
 SLAB = 1 << 22
 NEAR = "array<struct<rank: int, track_id: bigint, sim: double>>"
 
@@ -146,7 +151,17 @@ def nearest_tracks(
     if n_catalog is None:
         catalog = stage(catalog, "catalog")
         n_catalog = catalog.count()
-    grid = plan_grid(n_queries, n_catalog, task_slots(spark))
+    if n_catalog > CATALOG_ROWS:
+        merged, _ = nearest_pruned(
+            queries, catalog, k, _cell_kernel(k), GROUP_ROWS, exclude, n_catalog, CATALOG_ROWS, QUERY_ROWS
+        )
+        return _packed(merged) if packed else merged
+    n_masked = 0
+    if exclude is not None:
+        # Only rows that the catalog could return matter; their number counts into the cells' size.
+        exclude = stage(exclude.select("query_id", "track_id").join(catalog.select("track_id"), "track_id", "left_semi"), "masked")
+        n_masked = exclude.count()
+    grid = plan_grid(n_queries + n_masked // 8, n_catalog, task_slots(spark))
 
     group = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     all_groups = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -180,19 +195,15 @@ def nearest_tracks(
     # An explicit partition count keeps adaptive coalescing from packing the cells into few tasks.
     parts = min(grid.cells, 8 * task_slots(spark)) if grid.cells > task_slots(spark) else grid.cells
     parts = max(parts, 1)
-    one_group = grid.catalog_groups == 1
     rows, lists = "query_id bigint, rank int, track_id bigint, sim double", f"query_id bigint, near {NEAR}"
-    found = (
+    return (
         left.repartition(parts, "cell")
         .groupBy("cell")
         .cogroup(right.repartition(parts, "cell").groupBy("cell"))
-        .applyInArrow(_cell_kernel(k, packed and one_group), lists if packed and one_group else rows)
+        .applyInArrow(_cell_kernel(k, packed), lists if packed else rows)
     )
-    if one_group:
-        return found
-    best = Window.partitionBy("query_id").orderBy(F.desc("sim"), "track_id")
-    merged = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    if not packed:
-        return merged
+
+
+def _packed(rows: DataFrame) -> DataFrame:
     near = F.sort_array(F.collect_list(F.struct("rank", "track_id", "sim"))).alias("near")
-    return merged.groupBy("query_id").agg(near)
+    return rows.groupBy("query_id").agg(near)

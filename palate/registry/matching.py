@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ from palate.operators import evaluation as E
 from palate.operators import quality as Q
 from palate.operators.resolve import resolve_titles
 from palate.operators.similarity import nearest_tracks
-from palate.plans import lifecycle
+from palate.plans import ingest, lifecycle
+from palate.plans.crosswalk import Crosswalk, feature_chain
 from palate.registry.core import cosine_sql, query, views
 from palate.registry.summaries import TITLE_SQL, decorated_title, ratio_sql, title_sql
-from palate.schema import FEATURES
+from palate.schema import FEATURES, canonical
 from palate.session import new_path, stage
 from palate.sources import bindings as B
 from palate.streaming import library as S
@@ -23,10 +26,20 @@ from palate.streaming import library as S
 # ---- title resolution
 
 
+PLAIN = string.ascii_letters + string.digits
+WIDE = "".join(chr(ord(c) + 0xFEE0) for c in PLAIN)
+
+
 def wanted_titles(spark, d) -> DataFrame:
-    """Our tracks: decorated titles, credits with a second artist on every third, an ISRC on every eleventh."""
+    """Our tracks: decorated titles, credits with a second artist on every third, accented or full-width names on some, an ISRC on every eleventh."""
     key = F.col("p_partkey")
-    credits = F.when(key % 3 == 0, F.concat_ws(", ", "p_brand", "p_type")).otherwise(F.col("p_brand"))
+    brand = (
+        F.when(key % 7 == 0, F.translate("p_brand", "an", "áñ"))
+        .when(key % 7 == 1, F.translate("p_brand", PLAIN, WIDE))
+        .when(key % 7 == 2, F.concat("p_brand", F.lit("ﬁ½")))
+        .otherwise(F.col("p_brand"))
+    )
+    credits = F.when(key % 3 == 0, F.concat_ws(", ", brand, "p_type")).otherwise(brand)
     return B.table(spark, d, "part").select(
         key.alias("track_id"),
         decorated_title().alias("title"),
@@ -56,10 +69,11 @@ def foreign_titles(spark, d) -> DataFrame:
     )
 
 
-_ARTIST = "trim(regexp_replace(regexp_replace(lower(a), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+_ARTIST = f"trim(regexp_replace(regexp_replace(lower(translate(strip_accents(replace(replace(a, 'ﬁ', 'fi'), '½', '12')), '{WIDE}', '{PLAIN}')), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 RESOLVE = {
-    "w0": f"""SELECT p_partkey AS id, {TITLE_SQL} AS title, CASE WHEN p_partkey % 3 = 0 THEN p_brand || ', ' || p_type ELSE p_brand END AS artists,
-        CASE WHEN p_partkey % 4 <> 0 THEN lower(p_type) END AS album, CASE WHEN p_partkey % 11 = 0 THEN 'QZ' || p_partkey END AS isrc FROM part""",
+    "w0": f"""SELECT p_partkey AS id, {TITLE_SQL} AS title, CASE WHEN p_partkey % 3 = 0 THEN brand || ', ' || p_type ELSE brand END AS artists,
+        CASE WHEN p_partkey % 4 <> 0 THEN lower(p_type) END AS album, CASE WHEN p_partkey % 11 = 0 THEN 'QZ' || p_partkey END AS isrc
+        FROM (SELECT *, CASE p_partkey % 7 WHEN 0 THEN translate(p_brand, 'an', 'áñ') WHEN 1 THEN translate(p_brand, '{PLAIN}', '{WIDE}') WHEN 2 THEN p_brand || 'ﬁ½' ELSE p_brand END AS brand FROM part)""",
     "f0": """SELECT p_partkey + 1000000 AS id, CASE p_partkey % 5 WHEN 1 THEN regexp_replace(p_name, '.$', '') WHEN 2 THEN p_name || ' (Bonus Material)'
         WHEN 3 THEN replace(p_name, 'e', 'aa') WHEN 4 THEN reverse(p_name) ELSE p_name END AS title,
         CASE WHEN p_partkey % 6 = 0 THEN p_type ELSE p_brand END AS artists,
@@ -98,6 +112,91 @@ def j9(spark, d):
     return resolve_titles(wanted_titles(spark, d), foreign_titles(spark, d)).withColumn("score", F.round("score", 9))
 
 
+# ---- features through other catalogs
+
+# Which landed rows came before, and whose own features are known.
+CHAIN = {
+    "own": "SELECT * FROM complete WHERE track_id % 4 <> 0",
+    "asked": "SELECT DISTINCT track_id FROM landed",
+    "before": "SELECT DISTINCT track_id FROM landed WHERE batch_key % 2 = 0",
+    "rest": "SELECT track_id FROM asked WHERE track_id NOT IN (SELECT track_id FROM own)",
+    "w_all": RESOLVE["w0"],
+    **RESOLVE,
+    "w0": "SELECT * FROM w_all WHERE id IN (SELECT track_id FROM rest)",
+    "pairs": """SELECT wid AS track_id, fid AS foreign_id FROM (
+        SELECT *, row_number() OVER (PARTITION BY wid ORDER BY p, score DESC, fid) AS r FROM options WHERE p IS NOT NULL) WHERE r = 1""",
+    "theirs": "SELECT track_id + 1000000 AS foreign_id FROM complete",
+    "through": "SELECT track_id, foreign_id FROM pairs JOIN theirs USING (foreign_id)",
+    "featured": "SELECT track_id FROM own UNION SELECT track_id FROM through",
+}
+
+
+def chain_inputs(spark, d) -> dict[str, DataFrame]:
+    complete = Q.complete(B.tracks(spark, d)).select("track_id", *FEATURES)
+    return {
+        "features": complete.where(F.col("track_id") % 4 != 0),
+        "foreign": foreign_titles(spark, d),
+        "foreign_features": complete.withColumn("foreign_id", F.col("track_id") + 1_000_000).drop("track_id"),
+        "crosswalk": Crosswalk(spark, new_path(spark, "crosswalk")),
+    }
+
+
+@query(
+    "j11_second_batch",
+    views("landed", "complete", extra=CHAIN)
+    + """SELECT track_id, 'direct' AS source, CAST(NULL AS BIGINT) AS foreign_id FROM asked WHERE track_id IN (SELECT track_id FROM own)
+         UNION ALL SELECT track_id, CASE WHEN track_id IN (SELECT track_id FROM before) THEN 'crosswalk' ELSE 'resolved' END, foreign_id FROM through""",
+)
+def j11_second(spark, d):
+    """Every landed track, after half of the landed rows were a batch of their own: only new tracks are resolved."""
+    landed, titles, given = B.landed_library(spark, d), wanted_titles(spark, d), chain_inputs(spark, d)
+    batch = lambda rows: titles.join(rows.select("track_id").distinct(), "track_id", "left_semi")
+    feature_chain(batch(landed.where(F.col("batch_key") % 2 == 0)), batch_id=0, **given)
+    return feature_chain(batch(landed), batch_id=1, **given).select("track_id", "source", "foreign_id")
+
+
+def collected(spark, d) -> ingest.Collected:
+    """The second of two batches of landed rows."""
+    users = B.users(spark, d).select("user_id", "display_name")
+    items = B.landed_library(spark, d).withColumnRenamed("batch_key", "event_id").withColumn("source_priority", F.lit(0))
+    items = items.join(users, "user_id").join(wanted_titles(spark, d), "track_id").withColumn("popularity", F.lit(None).cast("int"))
+    items, given = stage(items, "items"), chain_inputs(spark, d)
+    stored = users.limit(0).select("user_id", F.lit(None).cast("bigint").alias("track_id"))
+    catalog = canonical(B.tracks(spark, d).where(F.col("track_id") % 6 == 0))
+    one = ingest.collect(items.where(F.col("event_id") % 2 == 0), users=users.limit(0), library=stored, catalog=catalog, batch_id=0, **given)
+    rows, people = stage(one.library_rows, "library_rows").select("user_id", "track_id"), stage(one.users, "users")
+    return ingest.collect(items, users=people, library=rows, catalog=stage(one.catalog, "catalog"), batch_id=1, **given)
+
+
+@query(
+    "p1_collect_gated_rows",
+    views("landed", "complete", extra=CHAIN)
+    + """SELECT DISTINCT user_id, track_id FROM landed WHERE track_id IN (SELECT track_id FROM featured)
+         EXCEPT SELECT user_id, track_id FROM landed WHERE batch_key % 2 = 0""",
+)
+def p1_gated(spark, d):
+    return collected(spark, d).library_rows.select("user_id", "track_id")
+
+
+@query(
+    "p1_collect_users",
+    "SELECT DISTINCT o_custkey AS user_id, c_name AS display_name FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey "
+    "WHERE o_custkey NOT IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 2 = 0)",
+)
+def p1_users(spark, d):
+    return collected(spark, d).users
+
+
+@query(
+    "p1_collect_grown_catalog",
+    views("landed", "complete", extra=CHAIN)
+    + """SELECT track_id FROM complete WHERE track_id % 6 = 0
+         UNION SELECT track_id FROM featured WHERE track_id IN (SELECT track_id FROM asked)""",
+)
+def p1_grown(spark, d):
+    return collected(spark, d).catalog.select("track_id")
+
+
 # ---- learned features
 
 

@@ -10,7 +10,8 @@ from palate.operators import discovery as D
 from palate.operators import evaluation as E
 from palate.operators import quality as Q
 from palate.operators import ranking as R
-from palate.operators import taste
+from palate.operators import similarity, taste
+from palate.operators.pruned import nearest_pruned
 from palate.operators.similarity import nearest_tracks
 from palate.plans import ingest, lifecycle, recommend, report
 from palate.registry.core import FEATURE_LIST, query, views
@@ -49,6 +50,33 @@ def j8(spark, d):
     return found.withColumnRenamed("query_id", "seed_id")
 
 
+PRUNED_ROWS = 64
+
+
+@query(
+    "j8_pruned_join",
+    views("seed_ranked") + "SELECT seed_id, track_id, sim, rk::INTEGER AS rank FROM seed_ranked WHERE rk <= 10",
+)
+def j8_pruned(spark, d):
+    """The same through many small catalog groups: only those are visited that can hold one of the ten."""
+    i = inputs(spark, d)
+    queries = i.catalog.select(F.col("track_id").alias("query_id"), "vec")
+    found, _ = nearest_pruned(queries, i.catalog, 10, similarity._cell_kernel(10), PRUNED_ROWS, None, i.n_catalog, PRUNED_ROWS, 65536)
+    return found.withColumnRenamed("query_id", "seed_id")
+
+
+@query(
+    "w3_pruned_top",
+    views("profile_ranked") + f"SELECT user_id, rank::INTEGER AS rank, track_id, sim FROM profile_ranked WHERE rank <= {TOP}",
+)
+def w3_pruned(spark, d):
+    i = inputs(spark, d)
+    profiles = taste.profile_vectors(i.library, i.catalog).select(F.col("user_id").alias("query_id"), "vec")
+    owned = i.library.select(F.col("user_id").alias("query_id"), "track_id")
+    found, _ = nearest_pruned(profiles, i.catalog, TOP, similarity._cell_kernel(TOP), PRUNED_ROWS, owned, i.n_catalog, PRUNED_ROWS, 65536)
+    return found.withColumnRenamed("query_id", "user_id").select("user_id", "rank", "track_id", "sim")
+
+
 @query(
     "w3_profile_top",
     views("profile_ranked") + f"SELECT user_id, rank::INTEGER AS rank, track_id, sim FROM profile_ranked WHERE rank <= {TOP}",
@@ -117,18 +145,41 @@ def w2(spark, d):
         "profile_ranked",
         "tracks",
         extra={
-            "cands": "SELECT user_id, track_id, sim, track_name, artists FROM profile_ranked JOIN tracks USING (track_id) WHERE rank <= 100",
+            "cands": "SELECT user_id, track_id, sim, track_name, artists FROM profile_ranked JOIN tracks USING (track_id)",
             "walked": greedy_sql("cands", "user_id", TOP),
         },
     )
     + "SELECT user_id, rank, r.track_id AS track_id, -r.neg AS sim FROM walked",
 )
 def w4(spark, d):
-    """The listener's nearest 5n unseen tracks, walked down to n."""
+    """All unseen tracks of a listener in order of similarity, walked down to n."""
+    return walked(spark, d, TOP)
+
+
+LONG = 1000
+
+
+@query(
+    "w4_greedy_thousand",
+    views(
+        "profile_ranked",
+        "tracks",
+        extra={
+            "cands": "SELECT user_id, track_id, sim, track_name, artists FROM profile_ranked JOIN tracks USING (track_id)",
+            "walked": greedy_sql("cands", "user_id", LONG),
+        },
+    )
+    + "SELECT user_id, rank, r.track_id AS track_id, -r.neg AS sim FROM walked",
+)
+def w4_thousand(spark, d):
+    return walked(spark, d, LONG)
+
+
+def walked(spark, d, n: int) -> DataFrame:
     i = inputs(spark, d)
-    near = recommend.profile_top(i, R.OVERFETCH * TOP).drop("rank")
+    near = recommend.profile_top(i, i.n_catalog).drop("rank")
     named = near.join(i.tracks.select("track_id", "track_name", "artists"), "track_id")
-    return R.diversify(named, TOP, ["user_id"]).select("user_id", "rank", "track_id", "sim")
+    return R.diversify(named, n, ["user_id"]).select("user_id", "rank", "track_id", "sim")
 
 
 SPREAD_N, SPREAD_D = 5, 0.3
@@ -736,14 +787,14 @@ def p1(spark, d):
 
 @query(
     "p1_collect_library_rows",
-    views("owned") + "SELECT user_id, track_id FROM owned WHERE track_id % 5 <> 0",
+    views("owned", "complete") + "SELECT user_id, track_id FROM owned WHERE track_id % 5 <> 0 AND track_id IN (SELECT track_id FROM complete)",
 )
 def p1_rows(spark, d):
     tracks = B.tracks(spark, d)
     landed = C.union_sources([B.landed_library(spark, d).where(F.col("playlist_name") == s) for s in SOURCES])
     items = landed.withColumnRenamed("batch_key", "event_id").join(tracks.select(*METADATA_COLS), "track_id")
     stored = B.owned(spark, d).where(F.col("track_id") % 5 == 0)
-    result = ingest.ingest_batch(items, tracks.select("track_id", *FEATURES), stored, canonical(tracks))
+    result = ingest.ingest_batch(items, Q.complete(tracks).select("track_id", *FEATURES), stored, canonical(tracks))
     return result.library_rows.select("user_id", "track_id")
 
 

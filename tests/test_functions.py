@@ -1,12 +1,18 @@
 """Hand-computed cases of the column functions."""
 
+import re
+import unicodedata
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palate.functions import indel
 from palate.functions.mood import mood
 from palate.functions.scaling import feature_vectors, fit_scalers
-from palate.functions.text import indel_ratio, normalize_artist, normalize_artist_exact, normalize_title
+from palate.functions.text import fold_to_ascii, indel_ratio, normalize_artist, normalize_artist_exact, normalize_title, ratio
 from palate.functions.vectors import cosine
 from palate.functions.weights import track_weight
 from palate.schema import (
@@ -111,3 +117,46 @@ def test_scaling_by_hand(spark):
     assert got[1]["energy"] == 0.0 and got[2]["energy"] == 1.0
     assert got[1]["tempo"] == -1.0 and got[2]["tempo"] == 1.0
     assert got[2]["key"] == pytest.approx(2 / 11) and got[2]["mode"] == 2.0 and got[1]["popularity_norm"] == 0.5
+
+
+def plain_common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for k, y in enumerate(b):
+            row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def test_common_lengths_of_many_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdé你🙂 "))
+    word = lambda n: "".join(rng.choice(letters, n))
+    lefts = ["", "a" * 64, "a" * 65, "ab" * 64, "x"] + [word(n) for n in rng.integers(0, 40, 60)] + [word(n) for n in (63, 64, 65, 127, 128, 129, 300)]
+    rights = ["", "a" * 200, "b", "zz"] + [word(n) for n in rng.integers(0, 80, 40)] + [x[1:] + "q" for x in lefts]
+    i, j = map(np.ravel, np.meshgrid(np.arange(len(lefts)), np.arange(len(rights)), indexing="ij"))
+    want = [plain_common_length(lefts[a], rights[b]) for a, b in zip(i, j)]
+    assert indel.common_lengths(lefts, rights, i, j).tolist() == want
+    monkeypatch.setattr(indel, "PAIRS", 50)
+    monkeypatch.setattr(indel, "MASK_BYTES", 1)
+    assert indel.common_lengths(lefts, rights, i, j).tolist() == want
+    shared = indel.letter_overlap(lefts, rights)
+    assert shared.ravel().tolist() == [sum((Counter(lefts[a]) & Counter(rights[b])).values()) for a, b in zip(i, j)]
+    assert indel.letter_overlap(["", "a"], [""]).tolist() == [[0], [0]]
+
+
+def test_ratio_column_keeps_nulls(spark):
+    rows = [("ab", "ab"), ("", ""), (None, "x"), ("x", None), ("abc", "")]
+    got = [r[0] for r in spark.createDataFrame(rows, "a string, b string").coalesce(1).select(ratio(F.col("a"), F.col("b"))).collect()]
+    assert got == [100.0, 100.0, None, None, 0.0]
+
+
+def test_folding_equals_compatibility_decomposition(spark):
+    names = ["Beyoncé", "Ｃｈｅｒ＆ｘ", "ﬁne ½ Ⅷ №5", "𝓐𝓫𝓬", "Ångström", "你好", "Đ ø ß", "x̂ŷ", "㎏ ﷺ", "", "plain"]
+    names += ["".join(chr(c) for c in range(k, k + 50) if not 0xD800 <= c < 0xE000) for k in (0xA0, 0x1E00, 0x2070, 0x2100, 0xFB00, 0xFF00, 0x1D400)]
+    folded = spark.createDataFrame([(n,) for n in names], "n string").select("n", fold_to_ascii(F.col("n")).alias("f"), normalize_artist(F.col("n")).alias("a"))
+    for r in folded.collect():
+        plain = unicodedata.normalize("NFKD", r.n).encode("ascii", "ignore").decode()
+        assert r.f.encode("ascii", "ignore").decode() == plain
+        assert r.a == re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", "", plain.lower())).strip()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from palate.operators import pruned as P
 from palate.operators import ranking as R
 from palate.operators import similarity as S
 from palate.operators.ranking import diversify, merge_moods, mood_quotas, spread
@@ -55,6 +56,25 @@ def test_nearest_tracks_is_exact(spark, monkeypatch, query_rows, catalog_rows):
     assert opened == brute_top(queries, catalog, 7)
 
 
+@pytest.mark.parametrize("spread_out", [0.02, 2.0])
+def test_pruned_search_is_exact_and_says_what_it_visited(spark, spread_out):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 8))
+    catalog = {t: centres[t % 12] + rng.normal(size=8) * spread_out for t in range(600)}
+    catalog |= {600: np.zeros(8), 601: catalog[5], 602: catalog[5]}
+    queries = {q: centres[q % 12] + rng.normal(size=8) * spread_out for q in range(50)} | {50: np.zeros(8), 51: catalog[5]}
+    banned = {(q, t) for q in range(0, 50, 7) for t in range(q % 12, 600, 12)} | {(51, 5), (51, 9999)}
+    frame = lambda d, name: spark.createDataFrame([(i, v.tolist()) for i, v in d.items()], f"{name} long, vec array<double>")
+    found, visited = P.nearest_pruned(
+        frame(queries, "query_id"), frame(catalog, "track_id"), 9, S._cell_kernel(9), 50,
+        spark.createDataFrame(list(banned), "query_id long, track_id long"), len(catalog), 40, 16,
+    )
+    got = {(r["query_id"], r["track_id"], r["rank"], r["sim"] + 0.0) for r in found.collect()}
+    assert got == brute_top(queries, catalog, 9, banned)
+    share = sum(r["compared"] for r in visited.collect()) / visited.first()["of_all"]
+    assert share < 0.4 if spread_out < 1 else share <= 1.0
+
+
 def test_listeners_without_seed_matches_fall_back_to_the_mean_vector(spark):
     """One listener owns everything near its tracks; its list comes from the mean vector."""
     near = [(t, [1.0, t / 1000, 0.0]) for t in range(8)]
@@ -117,6 +137,33 @@ def test_greedy_walk_is_exact_on_long_lists(spark, n, artists, titles, size):
     assert got == {u: walk(mine, n) for u, mine in lists.items()}
 
 
+@pytest.mark.parametrize("rows_per_batch", [7, 10_000])
+def test_walk_over_many_partitions_and_batches(spark, rows_per_batch):
+    """One listener holds most rows, spread over all partitions; a track comes from several seeds; some names are missing."""
+    rng = np.random.default_rng(rows_per_batch)
+    rows = []
+    for user, size in ((1, 3000), (2, 40), (3, 8), (4, 3)):
+        for _ in range(size):
+            t = int(rng.integers(0, size // 2 + 2))
+            title, artist = (f"T{t % 37}" if t % 11 else None), (f"A{t % 13}" if t % 7 else None)
+            rows.append((user, t, round(1 - t / 4000 - float(rng.integers(0, 2)) / 5000, 6), title, artist, int(rng.integers(0, 9))))
+    schema = "user_id long, track_id long, sim double, track_name string, artists string, seed_id long"
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)
+    try:
+        got: dict = {}
+        for r in diversify(spark.createDataFrame(rows, schema).repartition(6), 8, ["user_id"]).orderBy("user_id", "rank").collect():
+            got.setdefault(r["user_id"], []).append((r["track_id"], r["sim"], r["seed_id"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for user in (1, 2, 3, 4):
+        best: dict = {}
+        for r in sorted((r for r in rows if r[0] == user), key=lambda r: (-r[2], r[1], r[5])):
+            best.setdefault(r[1], r)
+        # A missing name is like no other.
+        mine = [(t, r[2], r[3] or f"no title {t}", r[4] or f"no artist {t}") for t, r in best.items()]
+        assert got[user] == [(t, best[t][2], best[t][5]) for t in walk(mine, 8)]
+
+
 def test_greedy_walk_golden(spark):
     rows = [(1, 1, 0.9, "t1", "A"), (1, 2, 0.8, "t2", "A"), (1, 3, 0.7, "t3", "A"), (1, 4, 0.6, "t3", "B"), (1, 5, 0.5, "t1", "C")]
     df = spark.createDataFrame(rows, "user_id long, track_id long, sim double, track_name string, artists string")
