@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from palate.llm.common import bound_batches
 from palate.session import fill_slots, stage
 
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 20_000
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 20_000
 #: Texts of so many bytes are encoded and aligned at once.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 LONG_RUN = 1000
 LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
 # Fixed value: how this byte-level tokenizer splits a text before merging.

@@ -130,7 +130,7 @@ def write_archives(
     """Write every page's record below ``folder``, which all executors share; the archives: archive, records, bytes."""
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    rows = fill_slots(rows).withColumn("digest", F.sha2("payload", 256))
     shared = rows.where(F.octet_length("payload") >= LEAST_SHARED).groupBy(F.col("digest").alias("of"))
     shared = shared.agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = shared.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -138,7 +138,7 @@ def write_archives(
     joined = salted.join(shared, (salted["digest"] == shared["of"]) & (salted["salt"] == shared["of_salt"]), "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     ready = joined.select(F.col("id").cast("string").alias("page"), "url", "payload", "digest", F.col("first").cast("string").alias("first"), revisit.alias("revisit"))
-    return stage(fill_slots(ready).mapInArrow(_writer(folder, date), "archive string, records bigint, bytes bigint"), "archives")
+    return stage(ready.mapInArrow(_writer(folder, date), "archive string, records bigint, bytes bigint"), "archives")
 
 
 # ---- reading
