@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -68,7 +69,8 @@ def fold_to_ascii(col: Column) -> Column:
     single = {c: f for c, f in forms.items() if len(f) == 1}
     out = F.translate(col, "".join(single), "".join(single.values()))
     more = {c: f for c, f in forms.items() if len(f) > 1}
-    known = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    # One constant instead of hundreds of expressions.
+    known = F.from_json(F.lit(json.dumps(more)), "map<string, string>")
     held = "[" + "".join(more) + "]"
     each = F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
     return F.when(out.rlike(held), F.array_join(each, "")).otherwise(out)

@@ -28,11 +28,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def seed_neighbours(seeds: DataFrame, catalog: DataFrame, depth: int, n_catalog: int | None = None) -> DataFrame:
     """For each distinct seed track its `depth` nearest tracks, packed as one array per seed.
 
-    A track that sits in many libraries is searched once, not once per library.
+    A track that sits in many libraries is searched once, not once per library. Seeds bring their vector or take the catalog's.
     """
-    queries = seeds.join(catalog.select("track_id", "vec"), "track_id").select(
-        F.col("track_id").alias("query_id"), "vec"
-    )
+    seeds = seeds if "vec" in seeds.columns else seeds.join(catalog.select("track_id", "vec"), "track_id")
+    queries = seeds.select(F.col("track_id").alias("query_id"), "vec")
     found = nearest_tracks(queries, catalog, depth, n_queries=n_catalog, n_catalog=n_catalog, packed=True)
     return found.withColumnRenamed("query_id", "seed_id")
 

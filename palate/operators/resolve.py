@@ -11,14 +11,14 @@ from palate.functions.indel import indel_ratios, letter_overlap
 from palate.functions.text import ARTIST_ALIASES, artist_list, normalize_artist, normalize_title
 from palate.operators.ranking import keep_first
 from palate.schema import FEATURES
-from palate.session import stage, task_slots
+from palate.session import fill_slots, stage, task_slots
 
 # Score that settles a match, score that needs an artist match too, and that artist score.
 THRESHOLD, SOFT_THRESHOLD, ARTIST_THRESHOLD = 80.0, 60.0, 70.0
 # Priorities of a match, best first.
 ISRC, ALBUM_EXACT, ALBUM_FUZZY, ALBUM_SOFT, ALBUM_SOFT_BARE = 1, 2, 3, 4, 5
 ARTIST_EXACT, ARTIST_FUZZY, ARTIST_SOFT, ARTIST_SOFT_BARE = 6, 7, 8, 9
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 
 
 def artist_names(artists: Column) -> Column:
@@ -179,8 +179,9 @@ def resolve_titles(wanted: DataFrame, foreign: DataFrame) -> DataFrame:
     only tracks that no earlier one settled. A title that normalises to nothing matches by ISRC only.
     Result: track_id, foreign_id, priority, score.
     """
-    wanted = stage(with_titles(wanted), "wanted")
-    foreign = stage(with_titles(foreign), "foreign")
+    # Normalising is heavy per row: a table of few files is spread first.
+    wanted = stage(with_titles(fill_slots(wanted)), "wanted")
+    foreign = stage(with_titles(fill_slots(foreign)), "foreign")
 
     def result(df, priority):
         return df.select("track_id", "foreign_id", F.lit(priority).alias("priority"), F.lit(100.0).alias("score"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,19 +151,18 @@ def style_summary(library: DataFrame) -> DataFrame:
 def profile_vectors(library: DataFrame, embedded: DataFrame, minimum: int = 3) -> DataFrame:
     """Weighted mean vector of every listener with enough usable tracks.
 
-    The vector mean is one aggregate with map-side combining: no vector is exploded or collected,
-    however large a library is.
+    One sum per component in an ordinary hash aggregate with map-side combining: no vector is exploded or collected,
+    however large a library is. All vectors have the length of the first one.
     """
-    weighted = embedded.select("track_id", array_to_vector("vec").alias("v"), track_weight().alias("w"))
+    known = embedded.select(F.size("vec").alias("n")).first()
+    places = [f"_{i}" for i in range(known.n if known else 0)]
+    weighted = embedded.select("track_id", track_weight().alias("w"), "vec")
+    sums = weighted.select("track_id", "w", *[(F.col("vec")[i] * F.col("w")).alias(p) for i, p in enumerate(places)])
     return (
         library.select("user_id", "track_id")
-        .join(weighted, "track_id")
+        .join(sums, "track_id")
         .groupBy("user_id")
-        .agg(
-            F.count(F.lit(1)).alias("usable_tracks"),
-            F.sum("w").alias("total_weight"),
-            Summarizer.mean(F.col("v"), F.col("w")).alias("mean"),
-        )
+        .agg(F.count(F.lit(1)).alias("usable_tracks"), F.sum("w").alias("total_weight"), *[F.sum(p).alias(p) for p in places])
         .where(F.col("usable_tracks") >= minimum)
-        .select("user_id", "usable_tracks", "total_weight", vector_to_array("mean").alias("vec"))
+        .select("user_id", "usable_tracks", "total_weight", F.array(*[F.col(p) / F.col("total_weight") for p in places]).cast("array<double>").alias("vec"))
     )

@@ -40,6 +40,8 @@ ENERGY_PREFERENCES = {
 class Inputs:
     """library(user_id, track_id, ...), tracks (catalog with features), catalog (tracks with `vec`).
 
+    `absent`, with the catalog's columns, holds library tracks outside the catalog: they count as seeds, never as candidates.
+
     The row counts are upper bounds, from table footers for instance; they size the similarity grid.
     Without them the tables are staged and counted.
     """
@@ -49,6 +51,12 @@ class Inputs:
     catalog: DataFrame
     n_listeners: int | None = None
     n_catalog: int | None = None
+    absent: DataFrame | None = None
+
+    @property
+    def embedded(self) -> DataFrame:
+        """All tracks with a vector."""
+        return self.catalog if self.absent is None else self.catalog.unionByName(self.absent)
 
     def __post_init__(self):
         self.library = standardize_columns(self.library)
@@ -58,7 +66,7 @@ class Inputs:
 def eligible_library(inputs: Inputs, minimum: int = MIN_LIBRARY) -> DataFrame:
     """Library rows with complete features and a vector, of listeners who have enough of them; `in_catalog` counts."""
     usable = inputs.library.select("user_id", "track_id").join(
-        inputs.catalog.select("track_id", *_features(inputs)), "track_id"
+        inputs.embedded.select("track_id", *_features(inputs)), "track_id"
     )
     owns = usable.groupBy("user_id").agg(F.count(F.lit(1)).alias("in_catalog"))
     return usable.join(owns.where(F.col("in_catalog") >= minimum), "user_id")
@@ -70,7 +78,7 @@ def _features(inputs: Inputs) -> list[str]:
 
 def profile_top(inputs: Inputs, k: int, library: DataFrame | None = None) -> DataFrame:
     """The k unseen tracks nearest to each listener's weighted mean vector."""
-    profiles = profile_vectors(library if library is not None else inputs.library, inputs.catalog)
+    profiles = profile_vectors(library if library is not None else inputs.library, inputs.embedded)
     found = nearest_tracks(
         profiles.select(F.col("user_id").alias("query_id"), "vec"),
         inputs.catalog,
@@ -99,12 +107,12 @@ def _with_source(recs: DataFrame, inputs: Inputs) -> DataFrame:
 
 def _seeds(inputs: Inputs, tracks: DataFrame) -> DataFrame:
     """Those of the tracks that sit in some library."""
-    return tracks.select("track_id").join(inputs.library.select("track_id"), "track_id", "left_semi")
+    return tracks.select("track_id", "vec").join(inputs.library.select("track_id"), "track_id", "left_semi")
 
 
 def similar_to_seeds(inputs: Inputs, n: int) -> DataFrame:
     """Per listener: unseen tracks near any of their tracks, diversified to n."""
-    near = seed_neighbours(_seeds(inputs, inputs.catalog), inputs.catalog, OVERFETCH * n, inputs.n_catalog)
+    near = seed_neighbours(_seeds(inputs, inputs.embedded), inputs.catalog, OVERFETCH * n, inputs.n_catalog)
     rows = eligible_library(inputs)
     candidates = seed_candidates(rows, near, _owned(inputs), n, ["user_id"])
     listed = diversify(_named(candidates, inputs), n, ["user_id"])
@@ -137,7 +145,7 @@ def _spread_profile(inputs: Inputs, n: int, diversity: float, seed: int | None,
 def mood_lists(inputs: Inputs, moods: list[str], per_mood: int) -> DataFrame:
     """One diversified list per (listener, requested mood), all moods in one pass."""
     wanted = F.col("mood").isin(moods)
-    seeds = _seeds(inputs, with_mood(inputs.catalog).where(wanted))
+    seeds = _seeds(inputs, with_mood(inputs.embedded).where(wanted))
     near = seed_neighbours(seeds, inputs.catalog, OVERFETCH * per_mood, inputs.n_catalog)
     rows = with_mood(eligible_library(inputs)).where(wanted)
     keys = ["user_id", "mood"]

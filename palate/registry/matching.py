@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import string
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +15,15 @@ from palate.operators import evaluation as E
 from palate.operators import quality as Q
 from palate.operators.resolve import resolve_titles
 from palate.operators.similarity import nearest_tracks
-from palate.plans import ingest, lifecycle
+from palate.plans import ingest, lifecycle, recommend
 from palate.plans.crosswalk import Crosswalk, feature_chain
-from palate.registry.core import cosine_sql, query, views
+from palate.plans.snapshot import Snapshots, inputs_from
+from palate.registry.core import WEIGHT_SQL, cosine_sql, query, views
 from palate.registry.summaries import TITLE_SQL, decorated_title, ratio_sql, title_sql
-from palate.schema import FEATURES, canonical
+from palate.schema import BOUNDED, FEATURES, METADATA_COLS, UNBOUNDED, canonical
 from palate.session import new_path, stage
 from palate.sources import bindings as B
+from palate.sources import files
 from palate.streaming import library as S
 
 # ---- title resolution
@@ -223,28 +226,35 @@ def model_vectors(spark, d) -> DataFrame:
     return stage(vectors.withColumn("split", C.split_name(C.split_bucket("track_id"))), "vectors")
 
 
-def trained_model(spark, d) -> tuple[M.Model, DataFrame]:
-    vectors = model_vectors(spark, d)
-    train = vectors.where("split = 'train'")
-    return M.train_autoencoder(train, vectors.where("split = 'validation'")), vectors
+_TRAINED: dict[tuple[str, str], tuple[Snapshots, lifecycle.Trained]] = {}
+
+
+def trained(spark, d) -> tuple[Snapshots, lifecycle.Trained]:
+    """One training per application and folder; every query below reads what it published."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRAINED:
+        store = Snapshots(spark, new_path(spark, "artifacts"))
+        _TRAINED[key] = store, lifecycle.train_and_publish(B.tracks(spark, d), store, minimum=100)
+    return _TRAINED[key]
 
 
 @query("m2_train_autoencoder")
 def m2(spark, d):
-    model, _ = trained_model(spark, d)
-    return model.history_frame(spark)
+    store, _ = trained(spark, d)
+    return store.current()["history"]
 
 
 @query("m3_encode_catalog")
 def m3(spark, d):
-    model, vectors = trained_model(spark, d)
-    return M.encode_tracks(vectors, model.weights).select("track_id", F.size("vec").alias("dim"), F.round(F.col("vec")[0], 6).alias("first"))
+    store, _ = trained(spark, d)
+    return store.current()["embeddings"].select("track_id", F.size("vec").alias("dim"), F.round(F.col("vec")[0], 6).alias("first"))
 
 
 @query("m4_reconstruct")
 def m4(spark, d):
-    model, vectors = trained_model(spark, d)
-    return E.reconstruction_metrics(M.reconstruct_tracks(vectors, model.weights))
+    store, _ = trained(spark, d)
+    snapshot = store.current()
+    return E.reconstruction_metrics(M.reconstruct_tracks(model_vectors(spark, d), M.weights_from(snapshot["weights"])))
 
 
 @query("m5_projection")
@@ -257,19 +267,106 @@ def m5(spark, d):
 
 @query("p6_train_and_publish")
 def p6(spark, d):
-    store = lifecycle.Artifacts.at(spark, new_path(spark, "artifacts"))
-    trained = lifecycle.train_and_publish(B.tracks(spark, d), store, minimum=100)
-    return trained.metrics.withColumn("rows", F.lit(store.embeddings.current().count()))
+    store, done = trained(spark, d)
+    learned = done.embedding_metrics
+    both = done.metrics.withColumn("learned", learned.select(F.struct(*learned.columns)).scalar())
+    return both.select(*done.metrics.columns, "learned.*", F.lit(store.current().rows["embeddings"]).alias("rows"))
+
+
+@query("p6_held_out_check")
+def p6_held_out(spark, d):
+    """Neighbours of the tracks that training has not seen, in the learned space."""
+    return trained(spark, d)[1].held_out
 
 
 @query("m6_encoded_neighbours")
 def m6_encoded(spark, d):
     """Neighbours in the learned space instead of the given one."""
-    model, vectors = trained_model(spark, d)
-    encoded = stage(M.encode_tracks(vectors, model.weights), "encoded")
+    encoded = trained(spark, d)[0].current()["embeddings"]
     return nearest_tracks(encoded.withColumnRenamed("track_id", "query_id"), encoded, 5)
 
 
+# A net small enough for SQL: every weight is a formula of its place.
+WIDTHS = [12, 5, 4, 3]
+
+
+def formula_weights() -> M.Weights:
+    out: M.Weights = {}
+    for k, (a, b) in enumerate(zip(WIDTHS[:-1], WIDTHS[1:])):
+        i, j = np.meshgrid(np.arange(a), np.arange(b), indexing="ij")
+        out[f"W{k}"], out[f"b{k}"] = ((i * 7 + j * 3 + k) % 11 - 3) / 8.0, np.arange(b) / 16.0 + 0.25
+        if k in M.NORMALISED:
+            out[f"gamma{k}"], out[f"beta{k}"] = np.ones(b), np.zeros(b)
+            out[f"mean{k}"], out[f"var{k}"] = np.zeros(b), np.full(b, 1.0 - M.BN_EPS)
+    # The decoder's first layer, so that no layer of the encoder is the last one.
+    out["W3"], out["b3"] = np.zeros((WIDTHS[-1], 12)), np.zeros(12)
+    return out
+
+
+def _layer_sql(x: str, k: int) -> str:
+    a, b = WIDTHS[k], WIDTHS[k + 1]
+    weight = f"(((i * 7 + j * 3 + {k}) % 11 - 3) / 8.0::DOUBLE)"
+    return f"list_transform(range(0, {b}), lambda j: greatest(list_sum(list_transform(range(0, {a}), lambda i: {x}[i + 1] * {weight})) + j / 16.0::DOUBLE + 0.25::DOUBLE, 0::DOUBLE))"
+
+
+_SCALED = (
+    [f"({c} - (SELECT min({c}) FROM kept)) / (SELECT max({c}) - min({c}) FROM kept)" if c in BOUNDED
+     else f"({c} - (SELECT avg({c}) FROM kept)) / (SELECT stddev_pop({c}) FROM kept)" if c in UNBOUNDED
+     else f"{c} / 11.0::DOUBLE" if c == "key" else f"{c}::DOUBLE" for c in FEATURES]
+    + ["popularity / 100.0::DOUBLE"]
+)
+ENCODED = {
+    # The snapshot embeds two thirds of the complete tracks; the others are encoded when a library holds them.
+    "kept": "SELECT * FROM complete WHERE track_id % 3 <> 0",
+    "f0": f"SELECT track_id, [{', '.join(_SCALED)}] AS x FROM complete",
+    "f1": f"SELECT track_id, {_layer_sql('x', 0)} AS x FROM f0",
+    "f2": f"SELECT track_id, {_layer_sql('x', 1)} AS x FROM f1",
+    "net": f"SELECT track_id, {_layer_sql('x', 2)} AS vec FROM f2",
+    "emb": f"SELECT c.*, vec, {WEIGHT_SQL} AS w FROM complete c JOIN net USING (track_id)",
+    "profile": f"""SELECT user_id, list(v ORDER BY pos) AS vec FROM (
+        SELECT user_id, pos, sum(w * vec[pos]) / sum(w) AS v FROM owned JOIN emb USING (track_id), (SELECT unnest(range(1, {WIDTHS[-1] + 1})) AS pos)
+        GROUP BY user_id, pos HAVING count(*) >= 3) GROUP BY user_id""",
+    "ranked": f"""SELECT user_id, track_id, sim, row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, track_id) AS rank FROM (
+        SELECT p.user_id, e.track_id, round({cosine_sql('p.vec', 'e.vec')}, 9) AS sim FROM profile p, emb e WHERE e.track_id % 3 <> 0) s
+        WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.user_id = s.user_id AND o.track_id = s.track_id)""",
+}
+
+
+def formula_snapshot(spark, d) -> Snapshots:
+    store = Snapshots(spark, new_path(spark, "formula"))
+    kept = Q.complete(B.tracks(spark, d)).where(F.col("track_id") % 3 != 0)
+    weights, scalers = formula_weights(), stage(fit_scalers(kept), "scalers")
+    store.publish(
+        {
+            "embeddings": M.encode_tracks(feature_vectors(kept, scalers), weights), "scalers": scalers,
+            "weights": M.weights_frame(spark, weights), "metadata": kept.select(*METADATA_COLS),
+        }
+    )
+    return store
+
+
+@query(
+    "s9_snapshot_encoded",
+    views("owned", "complete", extra={k: ENCODED[k] for k in ("kept", "f0", "f1", "f2", "net")})
+    + "SELECT track_id, list_transform(vec, lambda v: round(v, 6)) AS vec FROM net WHERE track_id % 3 <> 0 OR track_id IN (SELECT track_id FROM owned)",
+)
+def s9_encoded(spark, d):
+    """The snapshot's vectors, and those of library tracks that it lacks."""
+    inputs = inputs_from(formula_snapshot(spark, d).current(), B.owned(spark, d), B.tracks(spark, d))
+    return inputs.embedded.select("track_id", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+
+
+@query(
+    "s9_snapshot_profile_top",
+    views("owned", "complete", extra=ENCODED) + "SELECT user_id, rank::INTEGER AS rank, track_id, round(sim, 7) AS sim FROM ranked WHERE rank <= 10",
+)
+def s9_profile_top(spark, d):
+    """The ten nearest unseen tracks of the snapshot for every listener, whose own tracks may lie outside of it."""
+    library = B.owned(spark, d)
+    inputs = inputs_from(formula_snapshot(spark, d).current(), library, B.tracks(spark, d), n_listeners=B.table(spark, d, "customer").count())
+    return recommend.profile_top(inputs, 10).select("user_id", "rank", "track_id", F.round("sim", 7).alias("sim"))
+
+
 # ---- streams
 
 
@@ -308,6 +405,26 @@ def t1_misses(spark, d):
     return spark.read.schema("track_id bigint").parquet(f"{base}/misses").select("track_id").distinct()
 
 
+GROWN_FROM, TRAINED_AT, ASKED_AT = 5000, "2024-01-01T06:00:00", "2024-01-05T09:00:00"
+
+
+@query(
+    "p7_growth_decision",
+    f"""SELECT dataset_size, new_tracks, 4::BIGINT AS days_since, CASE WHEN new_tracks >= 1000 THEN format('Significant dataset growth ({{}} new tracks)', new_tracks)
+            WHEN new_tracks >= 100 THEN format('Moderate growth ({{}} new tracks, 4 days)', new_tracks) ELSE '' END AS reason
+        FROM (SELECT {GROWN_FROM} + count(*) AS dataset_size, count(*) AS new_tracks FROM events)""",
+)
+def p7_growth(spark, d):
+    """The retraining decision from the stream's daily counts and the stored history of trainings."""
+    base = new_path(spark, "growth")
+    S.growth_stream(S.event_additions(spark, landed_events(spark, d)), f"{base}/daily", f"{base}/checkpoint").awaitTermination()
+    at = lambda text: F.to_timestamp(F.lit(text))
+    files.append_state(spark, f"{base}/history", spark.range(1).select(F.lit(GROWN_FROM).alias("dataset_size")), at=at(TRAINED_AT))
+    files.append_state(spark, f"{base}/history", spark.range(1).select(F.lit(1).alias("dataset_size")), "failed", at=at(ASKED_AT))
+    state = lifecycle.retraining_state(spark, f"{base}/history", S.read_growth(spark, f"{base}/daily"), GROWN_FROM, at(ASKED_AT))
+    return lifecycle.retrain_decision(state).select("dataset_size", "new_tracks", F.col("days_since").cast("long").alias("days_since"), "reason")
+
+
 @query(
     "t2_stream_growth",
     "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS added FROM events GROUP BY 1",

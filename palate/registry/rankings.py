@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +16,11 @@ from palate.operators import similarity, taste
 from palate.operators.pruned import nearest_pruned
 from palate.operators.similarity import nearest_tracks
 from palate.plans import ingest, lifecycle, recommend, report
+from palate.plans.incremental import ListStore, refresh
 from palate.registry.core import FEATURE_LIST, query, views
 from palate.registry.tables import CATALOG_SQL, rich
 from palate.schema import FEATURES, METADATA_COLS, canonical
-from palate.session import stage
+from palate.session import new_path, stage
 from palate.sources import bindings as B
 
 TOP = 20
@@ -85,6 +88,23 @@ def w3(spark, d):
     return recommend.profile_top(inputs(spark, d), TOP).select("user_id", "rank", "track_id", "sim")
 
 
+LEFT = "SELECT DISTINCT user_id, track_id FROM landed"
+
+
+@query(
+    "g15_incremental_lists",
+    views("profile_ranked").replace(LEFT, LEFT + " WHERE user_id % 50 <> 1 AND NOT (user_id % 50 = 0 AND track_id % 7 = 0)")
+    + f"SELECT user_id, rank::INTEGER AS rank, track_id, sim FROM profile_ranked WHERE rank <= {N}",
+)
+def g15_lists(spark, d):
+    """The lists after a second run, in which some libraries shrank and some listeners left."""
+    i, store = inputs(spark, d), ListStore(spark, new_path(spark, "lists"))
+    later = i.library.where((F.col("user_id") % 50 != 1) & ~((F.col("user_id") % 50 == 0) & (F.col("track_id") % 7 == 0)))
+    lists_of = lambda given: recommend.profile_top(given, N).select("user_id", "rank", "track_id", "sim")
+    refresh(store, i, lists_of, "one")
+    return refresh(store, replace(i, library=later), lists_of, "one").lists()
+
+
 def greedy_sql(source: str, keys: str, n: int) -> str:
     """The diversity walk as a fold over each ranked list; needs track_id, sim, track_name, artists."""
     entry = "{'neg': -sim, 'track_id': track_id, 'a': lower(artists), 't': lower(track_name)}"

@@ -104,8 +104,20 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
-def append_state(spark: SparkSession, path: str, dataset_size: DataFrame, status: str = "completed") -> None:
+STATE = "timestamp timestamp, dataset_size bigint, status string"
+
+
+def append_state(spark: SparkSession, path: str, dataset_size: DataFrame, status: str = "completed", at=None) -> None:
     """One more row in the retraining history; dataset_size is a one-row count."""
-    dataset_size.select(
-        F.current_timestamp().alias("timestamp"), F.col("dataset_size"), F.lit(status).alias("status")
-    ).coalesce(1).write.mode("append").json(path)
+    when = F.current_timestamp() if at is None else at
+    dataset_size.select(when.alias("timestamp"), F.col("dataset_size"), F.lit(status).alias("status")).coalesce(1).write.mode("append").json(path)
+
+
+def read_json_state(spark: SparkSession, path: str) -> DataFrame:
+    """The retraining history; empty before the first training."""
+    try:
+        return spark.read.schema(STATE).json(path)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], STATE)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from palate.operators.catalog import cache_misses, insert_absent
+from palate.operators.catalog import cache_misses
+from palate.plans.ingest import gated_rows
 from palate.sources.files import read_parquet
 
 LIBRARY = T.StructType(
@@ -19,49 +22,76 @@ LIBRARY = T.StructType(
         T.StructField("ts", T.TimestampType()),
     ]
 )
-BUCKETS = 64
+KEYS = ["user_id", "track_id"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _earlier(spark: SparkSession, path: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """What batches before this one stored; a replayed batch does not see its own rows."""
-    with_batch = T.StructType(schema.fields + [T.StructField("bucket", T.IntegerType()), T.StructField("batch_id", T.LongType())])
-    return read_parquet(spark, path, with_batch).where(F.col("batch_id") < batch_id)
+class FirstAddition(StatefulProcessor):
+    """One (listener, track): the first batch that names it stores its earliest row; whatever comes later is a repeat."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "event_id bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        if self.seen.exists():
+            return
+        first = pd.concat(list(rows)).sort_values(["ts", "event_id"], na_position="last").head(1)
+        self.seen.update((int(first["event_id"].iloc[0]),))
+        yield first[[f.name for f in LIBRARY.fields]]
+
+    def close(self) -> None:
+        pass
+
+
+def new_additions(additions: DataFrame) -> DataFrame:
+    """The rows of a stream of additions that name a (listener, track) for the first time.
+
+    The state is one small value per pair in the state store, so a batch reads its own rows and the state of its own pairs; a
+    repeated or late row meets the state however long ago its pair was stored, also after a restart from the checkpoint.
+    """
+    whole = additions.where(F.col("user_id").isNotNull() & F.col("track_id").isNotNull() & F.col("event_id").isNotNull())
+    return whole.groupBy(*KEYS).transformWithStateInPandas(FirstAddition(), LIBRARY, "Append", "None")
 
 
 def library_sink(path: str, misses_path: str, features: DataFrame) -> Callable[[DataFrame, int], None]:
-    """Insert-if-absent into a table laid out by listener bucket, idempotent per batch.
+    """Store a batch of new additions and the tracks whose features are unknown.
 
-    Each batch overwrites its own directory, so a retry after a lost executor or driver writes the same
-    rows again. Only the buckets that occur in the batch are read back.
+    Each batch overwrites its own directory, so a retry after a lost executor or driver writes the same rows again. Nothing
+    that was stored before is read.
     """
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucketed = batch.withColumn("bucket", F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS)).cast("int"))
-        touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most BUCKETS numbers
-        stored = _earlier(spark, path, LIBRARY, batch_id).where(F.col("bucket").isin(touched))
-        keys = ["bucket", "user_id", "track_id"]
-        new = insert_absent(stored, bucketed, keys, [F.col("ts"), F.col("event_id")])
-        new.select(*[f.name for f in LIBRARY.fields], "bucket").write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{path}/batch_id={batch_id}"
-        )
-        cache_misses(batch, features).write.mode("overwrite").parquet(f"{misses_path}/batch_id={batch_id}")
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.select(*[f.name for f in LIBRARY.fields]).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # The stream is read once per batch; what was just written stands for it.
+        written = batch.sparkSession.read.schema(LIBRARY).parquet(f"{path}/batch_id={batch_id}")
+        cache_misses(written, features).write.mode("overwrite").parquet(f"{misses_path}/batch_id={batch_id}")
 
-    return upsert
+    return store
 
 
 def ingest_stream(additions: DataFrame, path: str, misses_path: str, features: DataFrame, checkpoint: str):
-    """additions: a stream of (event_id, user_id, track_id, ts).
-
-    A repeated delivery, in the same batch or years later, meets the insert-if-absent sink, so no
-    state is kept and an addition is stored however late it arrives.
+    """additions: a stream of (event_id, user_id, track_id, ts). A track is stored with or without features, as a stream
+    cannot ask for a row again; `usable_library` shows those that have some by now.
     """
-    return (
-        additions.writeStream.foreachBatch(library_sink(path, misses_path, features))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    spark = additions.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        return (
+            new_additions(additions)
+            .writeStream.foreachBatch(library_sink(path, misses_path, features))
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
+def usable_library(stored: DataFrame, features: DataFrame) -> DataFrame:
+    """Stored additions whose track has features, by the gate of the batch job."""
+    return gated_rows(stored, features, stored.limit(0), [F.col("ts"), F.col("event_id")])
 
 
 def growth_stream(additions: DataFrame, path: str, checkpoint: str):

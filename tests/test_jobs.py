@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palate.functions.text import indel_ratio
+from palate.plans.snapshot import NothingPublished, Snapshots
 from palate.operators import embedding as M
 from palate.operators import resolve
 from palate.operators.catalog import append_unique, attach_features, batches, cache_misses, insert_absent, search
@@ -177,16 +178,53 @@ def test_training_lowers_validation_error_and_publishes(spark):
         ]))
     types = ", ".join(f"{c} {'int' if c in ('key', 'mode') else 'double'}" for c in FEATURES)
     tracks = spark.createDataFrame(rows, f"track_id long, track_name string, artists string, popularity int, {types}")
-    store = lifecycle.Artifacts.at(spark, new_path(spark, "artifacts"))
+    store = Snapshots(spark, new_path(spark, "artifacts"))
     with pytest.raises(lifecycle.TooFewRows):
         lifecycle.train_and_publish(tracks.limit(10), store, epochs=1)
     trained = lifecycle.train_and_publish(tracks, store, epochs=6)
     losses = [r["loss"] for r in trained.history.orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
-    vectors = store.embeddings.current()
-    assert vectors.count() == n and vectors.selectExpr("max(size(vec)) AS d").first()["d"] == 64
-    again = M.weights_from(store.weights.current())
-    assert set(again) == set(M.init_weights())
+    now = store.current()
+    assert now.rows["embeddings"] == n and now["embeddings"].selectExpr("max(size(vec)) AS d").first()["d"] == 64
+    assert set(M.weights_from(now["weights"])) == set(M.init_weights())
+    assert trained.embedding_metrics.first()["max_similarity"] <= 1.0 + 1e-9
+    checked = trained.held_out.collect()
+    assert checked and all(r["query_id"] != r["track_id"] for r in checked)
+
+
+def test_snapshots_change_as_a_whole(spark):
+    store = Snapshots(spark, new_path(spark, "snapshots"))
+    tables = lambda v: {"a": spark.range(v), "b": spark.range(2 * v)}
+    store.publish(tables(3), "one")
+    # A writer that is lost before the pointer leaves tables that nobody reads.
+    spark.range(99).write.parquet(store._data("a", "half"))
+    assert (store.current().version, store.current().rows) == ("one", {"a": 3, "b": 6})
+    store.publish(tables(5), "two")
+    now = store.current()
+    assert now.version == "two" and (now["a"].count(), now["b"].count()) == (5, 10)
+    assert store.version("one")["b"].count() == 6
+    with pytest.raises(NothingPublished):
+        store.version("half")
+
+
+def test_retraining_loop(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(lifecycle, "train_and_publish", lambda *a, **k: calls.append(1) or "trained")
+    path = new_path(spark, "state")
+    grown = lambda n: spark.createDataFrame([("2024-01-01", n // 2), ("2024-01-02", n - n // 2)], "day string, added long")
+    at = lambda day: F.to_timestamp(F.lit(f"2024-01-{day:02} 12:00:00"))
+
+    def turn(n, day):
+        decision, done = lifecycle.retrain_if_due(spark.range(1), None, path, grown(n), 5000, at(day))
+        return decision.first()["reason"], done
+
+    assert turn(0, 1) == ("First time retraining", "trained")
+    assert turn(500, 2) == ("", None)
+    assert turn(500, 4) == ("Moderate growth (500 new tracks, 3 days)", "trained")
+    assert turn(1499, 5) == ("", None)
+    assert turn(1500, 5) == ("Significant dataset growth (1000 new tracks)", "trained")
+    assert turn(1500, 12) == ("Weekly retraining due (last: 7 days ago)", "trained")
+    assert len(calls) == 4 and files.read_json_state(spark, path).count() == 4
 
 
 def test_stream_equals_batch_and_replay_is_idempotent(spark):
@@ -201,7 +239,16 @@ def test_stream_equals_batch_and_replay_is_idempotent(spark):
     got = [(r["user_id"], r["track_id"]) for r in S.read_library(spark, f"{base}/lib").collect()]
     assert len(got) == len(set(got)) and set(got) == expected
     assert {r["track_id"] for r in spark.read.parquet(f"{base}/miss").collect()} == {3, 4}
-    S.library_sink(f"{base}/lib", f"{base}/miss", features)(spark.read.parquet(f"{landing}").limit(0), 1_000)
+    assert {(r["user_id"], r["track_id"]) for r in S.usable_library(S.read_library(spark, f"{base}/lib"), features).collect()} == {
+        k for k in expected if k[1] < 3
+    }
+    # Repeats and one new pair after a restart from the checkpoint: only the new pair is stored.
+    more = events.where("event_id < 5").unionByName(spark.createDataFrame([(99, 77, 1, "2023-01-01 00:00:00")], "event_id long, user_id long, track_id long, ts string").withColumn("ts", F.to_timestamp("ts")))
+    more.coalesce(1).write.mode("append").parquet(landing)
+    again = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    S.ingest_stream(again, f"{base}/lib", f"{base}/miss", features, f"{base}/cp").awaitTermination()
+    after = [(r["user_id"], r["track_id"]) for r in S.read_library(spark, f"{base}/lib").collect()]
+    assert sorted(after) == sorted([*got, (77, 1)])
     last = events.where("event_id < 5")
     for _ in range(2):
         S.library_sink(f"{base}/lib2", f"{base}/miss2", features)(last, 0)

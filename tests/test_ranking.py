@@ -10,7 +10,9 @@ from palate.operators import similarity as S
 from palate.operators.ranking import diversify, merge_moods, mood_quotas, spread
 from palate.operators.taste import listening_patterns, mood_counts
 from palate.plans import recommend
+from palate.plans.incremental import ListStore, add_prints, fingerprints, refresh
 from palate.plans.lifecycle import export_batches, retrain_decision
+from palate.session import new_path
 
 
 def brute_top(queries, catalog, k, banned=()):
@@ -236,3 +238,34 @@ def test_export_batches(spark):
     )
     got = export_batches(recs).groupBy("user_id", "batch_no").count().collect()
     assert {(r["user_id"], r["batch_no"]): r["count"] for r in got} == {(1, 0): 100, (1, 1): 100, (1, 2): 10}
+
+
+def test_only_changed_listeners_are_computed_again(spark):
+    rng = np.random.default_rng(12)
+    vectors = spark.createDataFrame([(t, rng.normal(size=4).tolist()) for t in range(60)], "track_id long, vec array<double>")
+    tracks = vectors.select("track_id", F.lit("t").alias("track_name"), F.lit("a").alias("artists"), F.lit(50).alias("popularity"), *[F.lit(0.5).alias(c) for c in ("energy", "danceability", "valence")])
+    rows = {(u, int(t)) for u in range(30) for t in rng.choice(60, 6, replace=False)}
+    asked = []
+
+    def lists_of(given):
+        asked.append(sorted(r[0] for r in given.library.select("user_id").distinct().collect()))
+        return recommend.profile_top(given, 5).select("user_id", "rank", "track_id", "sim")
+
+    def run(store, rows, basis="one"):
+        library = spark.createDataFrame(sorted(rows), "user_id long, track_id long").repartition(3)
+        given = recommend.Inputs(library, tracks, tracks.join(vectors, "track_id"), n_listeners=30, n_catalog=60)
+        refresh(store, given, lists_of, basis)
+        return sorted(map(tuple, store.lists().select("user_id", "rank", "track_id", "sim").collect()))
+
+    store = ListStore(spark, new_path(spark, "lists"))
+    run(store, rows)
+    spare = next(t for t in range(60) if (7, t) not in rows)
+    changed = {r for r in rows if r[0] != 11} | {(7, spare), *[(31, t) for t in range(4)]}
+    got = run(store, changed)
+    assert asked[1:] == [[7, 31]] and store.last().recomputed == 3
+    assert got == run(ListStore(spark, new_path(spark, "lists")), changed)
+    assert run(store, changed) == got and asked[-1] == []
+    assert run(store, changed, "two") == got and len(asked[-1]) == 30
+    prints = lambda r: {tuple(x) for x in fingerprints(spark.createDataFrame(r, "user_id long, track_id long")).collect()}
+    parts = [fingerprints(spark.createDataFrame(sorted(rows)[k::2], "user_id long, track_id long")) for k in (0, 1)]
+    assert {tuple(x) for x in add_prints(*parts).collect()} == prints(sorted(rows, reverse=True))
