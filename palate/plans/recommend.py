@@ -153,6 +153,31 @@ def mood_lists(inputs: Inputs, moods: list[str], per_mood: int) -> DataFrame:
     return diversify(_named(candidates, inputs), per_mood, keys)
 
 
+def quick_mood_lists(inputs: Inputs, moods: list[str], per_mood: int, diversity: float, seed: int | None) -> DataFrame:
+    """One list per (listener, requested mood) near the mean vector of the listener's tracks of that mood.
+
+    Listener and mood make one key, so all moods are one search.
+    """
+    place = F.coalesce(*[F.when(F.col("mood") == m, F.lit(i)) for i, m in enumerate(moods)])
+    rows = with_mood(eligible_library(inputs)).where(F.col("mood").isin(moods))
+    keyed = rows.select((F.col("user_id") * len(moods) + place).alias("user_id"), "track_id")
+    profiles = stage(profile_vectors(keyed, inputs.embedded, minimum=1), "mood_profiles")
+    owned = _owned(inputs).withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(len(moods) - 1))))
+    owned = owned.select((F.col("user_id") * len(moods) + F.col("_place")).alias("query_id"), "track_id")
+    found = nearest_tracks(
+        profiles.select(F.col("user_id").alias("query_id"), "vec"),
+        inputs.catalog,
+        MMR_POOL * per_mood,
+        exclude=owned.join(profiles.select(F.col("user_id").alias("query_id")), "query_id", "left_semi"),
+        n_queries=None if inputs.n_listeners is None else inputs.n_listeners * len(moods),
+        n_catalog=inputs.n_catalog,
+    )
+    picked = spread(found.withColumnRenamed("query_id", "user_id"), inputs.catalog, per_mood, diversity, seed)
+    mood = F.element_at(F.array(*[F.lit(m) for m in moods]), (F.pmod("user_id", F.lit(len(moods))) + 1).cast("int"))
+    user = F.expr(f"(user_id - pmod(user_id, {len(moods)})) div {len(moods)}")
+    return _named(picked.select(user.alias("user_id"), mood.alias("mood"), "rank", "track_id", "sim"), inputs)
+
+
 def recommend_by_mood(
     inputs: Inputs,
     n: int = 20,
@@ -160,15 +185,23 @@ def recommend_by_mood(
     weigh_by_taste: bool = True,
     diversity_level: float = 0.3,
     energy_preference: str = "Match My Taste",
+    quick: bool = False,
+    seed: int | None = 42,
+    apply_energy: bool = False,
 ) -> DataFrame:
     """Balanced over the requested moods by the listener's own shares.
 
-    `diversity_level` is accepted for compatibility: the quota step does not depend on it.
+    `quick` searches near each mood's mean vector and spreads by `diversity_level`; without it that level has no effect. The energy
+    preference passes lists through unless `apply_energy`.
     """
     order = F.coalesce(*[F.when(F.col("mood") == m, F.lit(i)) for i, m in enumerate(moods)])
-    lists = mood_lists(inputs, moods, n // len(moods) + EXTRA_PER_MOOD)
+    per_mood = n // len(moods) + EXTRA_PER_MOOD
+    if quick:
+        lists = quick_mood_lists(inputs, moods, per_mood, diversity_level, seed).withColumn("seed_id", F.lit(None).cast("bigint"))
+    else:
+        lists = mood_lists(inputs, moods, per_mood)
     merged = merge_moods(lists.drop("rank").withColumn("mood_order", order).withColumnRenamed("mood", "source_mood"))
-    merged = prefer_energy(stage(merged, "merged"), inputs.tracks, energy_preference, active=False)
+    merged = prefer_energy(stage(merged, "merged"), inputs.tracks, energy_preference, active=apply_energy)
     shares = None
     if weigh_by_taste:
         moody = with_mood(inputs.library.select("user_id", "track_id").join(inputs.tracks, "track_id"))

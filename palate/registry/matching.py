@@ -348,12 +348,12 @@ def formula_snapshot(spark, d) -> Snapshots:
 @query(
     "s9_snapshot_encoded",
     views("owned", "complete", extra={k: ENCODED[k] for k in ("kept", "f0", "f1", "f2", "net")})
-    + "SELECT track_id, list_transform(vec, lambda v: round(v, 6)) AS vec FROM net WHERE track_id % 3 <> 0 OR track_id IN (SELECT track_id FROM owned)",
+    + "SELECT track_id, round(vec[1], 6) AS x, round(vec[2], 6) AS y, round(vec[3], 6) AS z FROM net WHERE track_id % 3 <> 0 OR track_id IN (SELECT track_id FROM owned)",
 )
 def s9_encoded(spark, d):
     """The snapshot's vectors, and those of library tracks that it lacks."""
     inputs = inputs_from(formula_snapshot(spark, d).current(), B.owned(spark, d), B.tracks(spark, d))
-    return inputs.embedded.select("track_id", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+    return inputs.embedded.select("track_id", *[F.round(F.col("vec")[i], 6).alias(c) for i, c in enumerate("xyz")])
 
 
 @query(

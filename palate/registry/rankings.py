@@ -15,13 +15,14 @@ from palate.operators import ranking as R
 from palate.operators import similarity, taste
 from palate.operators.pruned import nearest_pruned
 from palate.operators.similarity import nearest_tracks
-from palate.plans import ingest, lifecycle, recommend, report
+from palate.plans import ingest, lifecycle, recommend, report, whatif
 from palate.plans.incremental import ListStore, refresh
-from palate.registry.core import FEATURE_LIST, query, views
+from palate.registry.core import FEATURE_LIST, cosine_sql, query, views
 from palate.registry.tables import CATALOG_SQL, rich
 from palate.schema import FEATURES, METADATA_COLS, canonical
 from palate.session import new_path, stage
 from palate.sources import bindings as B
+from palate.sources import delivery
 
 TOP = 20
 N = 10
@@ -286,6 +287,38 @@ def p4(spark, d):
     )
 
 
+QUICK = {
+    "mood_profile": f"""SELECT user_id, mood, list(v ORDER BY pos) AS vec FROM (
+        SELECT u.user_id, u.mood, pos, sum(w * vec[pos]) / sum(w) AS v FROM usable u JOIN emb USING (track_id), (SELECT unnest(range(1, 65)) AS pos)
+        WHERE u.mood IN ('High Energy', 'Chill', 'Medium Energy') GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "mood_ranked": f"""SELECT user_id, mood, track_id, sim, row_number() OVER (PARTITION BY user_id, mood ORDER BY sim DESC, track_id) AS rank FROM (
+        SELECT p.user_id, p.mood, e.track_id, round({cosine_sql('p.vec', 'e.vec')}, 9) AS sim FROM mood_profile p, emb e) s
+        WHERE NOT EXISTS (SELECT 1 FROM owned o WHERE o.user_id = s.user_id AND o.track_id = s.track_id)""",
+    "listed": f"SELECT user_id, mood, track_id, sim, NULL::BIGINT AS seed_id FROM mood_ranked WHERE rank <= {PER_MOOD}",
+}
+
+
+@query(
+    "p4_mood_quick",
+    views("usable", "owned", "mood_counts", "emb", extra=QUICK | MERGED | QUOTAS) + "SELECT user_id, rank, source_mood, track_id, sim FROM final",
+)
+def p4_quick(spark, d):
+    """Near the mean vector of each mood's tracks instead of near single tracks; without diversity, so that SQL can tell the result."""
+    found = recommend.recommend_by_mood(inputs(spark, d), N, MOODS, diversity_level=0.0, quick=True, seed=None)
+    return found.select("user_id", "rank", "source_mood", "track_id", "sim")
+
+
+@query(
+    "p4_mood_energy",
+    QUOTA_SQL.replace("WHERE f = 1", "WHERE f = 1 AND track_id IN (SELECT track_id FROM tracks WHERE energy > 0.7)")
+    + "SELECT user_id, rank, source_mood, track_id, sim FROM final",
+)
+def p4_energy(spark, d):
+    """Mood lists of which only tracks of high energy stay before the quotas."""
+    found = recommend.recommend_by_mood(inputs(spark, d), N, MOODS, energy_preference="High Energy", apply_energy=True)
+    return found.select("user_id", "rank", "source_mood", "track_id", "sim")
+
+
 @query(
     "p3_recommend",
     views("usable", "seed_ranked", "owned", "tracks", extra=W2_VIEWS)
@@ -787,6 +820,42 @@ def p9(spark, d):
     return report.report(all_checks(spark, d)).withColumn("pass_rate", F.round("pass_rate", 9))
 
 
+SIX = (
+    OVERLAP
+    | CONSISTENCY
+    | GATE
+    | {
+        "allowed": "SELECT user_id FROM counts WHERE n >= 3",
+        "lens": "SELECT user_id, count(*) AS n FROM profile_ranked GROUP BY 1",
+        "pairs": "SELECT user_id AS a, user_id + 1 AS b FROM users",
+        "held": """SELECT user_id, count(*) AS n FROM owned JOIN complete USING (track_id) GROUP BY 1""",
+        "checks": f"""SELECT 'basic' AS suite, coalesce(n, 0) >= wanted AS passed FROM allowed LEFT JOIN lens USING (user_id), (VALUES (5), (10), (15), (25)) AS w(wanted)
+            UNION ALL SELECT 'quality', avg(sim) > 0.5 FROM profile_ranked WHERE rank <= {TOP} GROUP BY user_id
+            UNION ALL SELECT 'consistency', (energy_share + danceability_share) / 2 > 0.6 FROM consistent
+            UNION ALL SELECT 'diversity', overlap_count / total_unique::DOUBLE < 0.8 FROM ov
+            UNION ALL SELECT 'edge', true FROM users
+            UNION ALL SELECT 'edge', true FROM users
+            UNION ALL SELECT 'edge', true FROM held WHERE n >= 2
+            UNION ALL SELECT 'edge', coalesce(n, 0) > 0 FROM allowed LEFT JOIN lens USING (user_id)""",
+        "rolled": """SELECT CASE WHEN grouping(suite) = 1 THEN 'overall' ELSE suite END AS suite, grouping(suite) AS total,
+            count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed FROM checks GROUP BY ROLLUP (suite)""",
+    }
+)
+
+@query(
+    "a19_six_suites",
+    views("profile_ranked", "seed_ranked", "users", "owned", "complete", "emb", extra={k: v for k, v in SIX.items() if k not in ("checks", "rolled")}
+          | {"checks": SIX["checks"] + " UNION ALL SELECT 'sensitivity', 1 - overlap_count / total_unique::DOUBLE > 0.3 FROM ov", "rolled": SIX["rolled"]})
+    + "SELECT suite, passed, failed FROM rolled",
+)
+def a19_six(spark, d):
+    """All six suites, perturbed libraries included."""
+    i, users = inputs(spark, d), B.users(spark, d)
+    checks = whatif.whatif_checks(i, users, next_users(spark, d))
+    genre = E.genre_consistency(genre_recs(spark, d), ["seed_id"]).select(F.lit("consistency").alias("suite"), F.col("genre").alias("subject"), "passed")
+    return E.suite_rollup(checks.unionByName(genre)).select("suite", "passed", "failed")
+
+
 # ---- jobs
 
 
@@ -875,6 +944,33 @@ def p8(spark, d):
     return lifecycle.export_batches(exportable(spark, d))
 
 
+SMALL_BATCH = 4
+
+
+@query(
+    "p8_delivered_batches",
+    views("profile_ranked", extra=EXPORT) + f"SELECT user_id, i // {SMALL_BATCH} AS batch_no, (i % {SMALL_BATCH})::INTEGER AS place, track_id FROM valid WHERE n >= 3",
+)
+def p8_delivered(spark, d):
+    """What the service holds after the same export was handed out twice."""
+    batched, folder = lifecycle.export_batches(exportable(spark, d), SMALL_BATCH), new_path(spark, "service")
+    for _ in range(2):
+        delivery.deliver(batched, folder, "nightly")
+    held = delivery.delivered(spark, folder, "nightly")
+    return held.select("user_id", "batch_no", F.posexplode("track_ids").alias("place", "track_id"))
+
+
+@query(
+    "p8_skipped_rows",
+    views("profile_ranked", extra=EXPORT)
+    + f"""SELECT user_id, rank::INTEGER AS rank, track_id, CASE WHEN track_id IS NULL THEN '{lifecycle.NO_TRACK}' ELSE '{lifecycle.SHORT_LIST}' END AS reason
+        FROM (SELECT *, count(track_id) OVER (PARTITION BY user_id) AS named FROM recs) WHERE track_id IS NULL OR named < 3""",
+)
+def p8_skipped(spark, d):
+    rows = exportable(spark, d).withColumns({"track_name": F.lit(None).cast("string"), "artists": F.lit(None).cast("string")})
+    return lifecycle.export_skipped(rows).select("user_id", "rank", "track_id", "reason")
+
+
 @query(
     "p8_export_stats",
     views("profile_ranked", extra=EXPORT)

@@ -1,5 +1,7 @@
 """Tables, matching, training and streams end to end on small frames."""
 
+import glob
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from palate.plans import lifecycle
 from palate.plans.recommend import prefer_energy
 from palate.schema import FEATURES, feature_schema
 from palate.session import new_path
-from palate.sources import files
+from palate.sources import delivery, files
 from palate.streaming import library as S
 
 
@@ -280,3 +282,28 @@ def test_cascade_gives_one_row_per_track(spark):
     assert len(got) == 3 and resolve.feature_cascade(wanted, features, crosswalk).count() == 3
     assert got[1]["source"] == "direct" and got[2]["source"] == "crosswalk" and got[3]["source"] is None
     assert got[2]["energy"] == 0.25
+
+
+def test_delivery_is_whole_and_once(spark):
+    folder = new_path(spark, "service")
+    rows = [(u, r, u * 100 + r) for u in range(3) for r in range(1, 8)]
+    recs = spark.createDataFrame(rows, "user_id long, rank int, track_id long")
+    batched = lifecycle.export_batches(recs, 3)
+    fails = F.udf(lambda x: 1 // 0 if x == 207 else x, "long")
+    with pytest.raises(Exception, match="division"):
+        delivery.deliver(batched.withColumn("track_id", fails("track_id")).repartition(4, "user_id"), folder, "one")
+    assert not glob.glob(folder.removeprefix("file:") + "/delivered/**/*.json", recursive=True)
+    for _ in range(2):
+        delivery.deliver(batched, folder, "one")
+    got = sorted((r.user_id, r.batch_no, r.track_ids) for r in delivery.delivered(spark, folder, "one").collect())
+    assert got == [(u, b, [u * 100 + r for r in range(3 * b + 1, min(3 * b + 4, 8))]) for u in range(3) for b in range(3)]
+    assert not glob.glob(folder.removeprefix("file:") + "/staged/*")
+
+
+def test_skipped_rows_have_a_reason(spark):
+    rows = [(1, r, r if r != 2 else None, "t", "a") for r in range(1, 6)] + [(2, 1, 5, None, "a"), (2, 2, None, "x", None)]
+    recs = spark.createDataFrame(rows, "user_id long, rank int, track_id long, track_name string, artists string")
+    got = {(r.user_id, r["rank"]): (r.track_name, r.artists, r.reason) for r in lifecycle.export_skipped(recs).collect()}
+    assert got == {
+        (1, 2): ("t", "a", lifecycle.NO_TRACK), (2, 1): ("Unknown", "a", lifecycle.SHORT_LIST), (2, 2): ("x", "Unknown", lifecycle.NO_TRACK)
+    }
