@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     builder = (
@@ -45,11 +47,17 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor re-reads files instead of recomputing the plan, and makes
-    row counts a footer read.
+    row counts a footer read. Once the table is written, nothing needs the shuffles behind it: their files go at once, not
+    when the driver happens to collect garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
