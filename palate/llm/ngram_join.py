@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,8 @@ WHOLE = 64
 #: Sets of up to this size can be similar to one of WHOLE n-grams, so all their n-grams are offered.
 _OFFER = WHOLE * DEN // NUM + 1
 #: Counted n-grams per bucket (on average) and per flush of a task.
-PER_BUCKET = 1 << 21
-PER_FLUSH = 1 << 21
+PER_BUCKET = 1 << 20
+PER_FLUSH = 1 << 19
 PIVOT_ROUNDS = 4
 SCREENS = 2
 #: (id, digest) rows that are broadcast at most: about 20 MB.
@@ -90,16 +91,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _flush(sets: dict[bytes, np.ndarray], buckets: int, part: float) -> pa.RecordBatch:
-    """Offered n-grams by bucket: those that only one set counts with their set; of the others, each once and the sets' numbers.
+def _flush(sets: dict[bytes, np.ndarray], buckets: int, part: float, origin: int) -> pa.RecordBatch:
+    """What one flush of a task offers. A row for the flush itself (bucket -1) names its sets, with how many of their counted n-grams
+    other sets of the flush have too. A row per bucket holds, by the sets' numbers in the flush, the n-grams that only one set
+    counts; and each of the others once.
 
     What a set offers but does not count is listed for the others only.
     """
     ids = np.frombuffer(b"".join(sets), np.int64)
     grams = np.concatenate(list(sets.values()))
-    owner = np.repeat(np.arange(len(ids)), [len(s) for s in sets.values()])
+    owner = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(s) for s in sets.values()])
     order = np.argsort(grams, kind="stable")
     grams, owner = grams[order], owner[order]
+    del order
     new = np.r_[True, grams[1:] != grams[:-1]]
     single = new & np.r_[new[1:], True]
     counts_all = np.array([len(s) <= WHOLE for s in sets.values()]) | (part >= 1)
@@ -107,25 +111,20 @@ def _flush(sets: dict[bytes, np.ndarray], buckets: int, part: float) -> pa.Recor
     # Bucket by the high half, store the low half: a rare collision only makes an n-gram look shared.
     bucket = ((grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     short = (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    rows: list[tuple] = []
+    met = np.bincount(owner[~single & counted], minlength=len(ids)).astype(np.uint32)
+    rows: list[tuple] = [(origin, -1, ids.tobytes(), met.tobytes(), b"", b"")]
     edges = np.searchsorted(bucket, np.arange(buckets + 1))
     for b in range(buckets):
         here = slice(edges[b], edges[b + 1])
         if here.start == here.stop:
             continue
         own = (single & counted)[here]
-        who, counts = np.unique(owner[here][own], return_counts=True)
         by = np.argsort(owner[here][own], kind="stable")
-        met, times = np.unique(owner[here][(~single & counted)[here]], return_counts=True)
-        rows.append(
-            (
-                b,
-                *(x.tobytes() for x in (ids[who], counts.astype(np.uint32), short[here][own][by])),
-                *(x.tobytes() for x in (ids[met], times.astype(np.uint32), short[here][new[here] & ~own])),
-            )
-        )
-    columns = list(zip(*rows)) if rows else [[]] * 7
-    kinds = [pa.int32()] + [pa.binary()] * 6
+        who, counts = np.unique(owner[here][own], return_counts=True)
+        packed = (who.astype(np.uint32), counts.astype(np.uint32), short[here][own][by], short[here][new[here] & ~own])
+        rows.append((origin, b, *(x.tobytes() for x in packed)))
+    columns = list(zip(*rows))
+    kinds = [pa.int64(), pa.int32()] + [pa.binary()] * 4
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], _OFFERED_NAMES)
 
 
@@ -135,12 +134,13 @@ def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(p.as_py(), np.uint64) for p in batch.column("path"))
 
 
-_OFFERED = "bucket int, ids binary, counts binary, own binary, met_ids binary, met_counts binary, met binary"
+_OFFERED = "origin bigint, bucket int, sets binary, counts binary, own binary, met binary"
 _OFFERED_NAMES = [c.split()[0] for c in _OFFERED.split(", ")]
 
 
 def _offer(buckets: int, part: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        origin = TaskContext.get().partitionId() << 32
         held: dict[bytes, np.ndarray] = {}
         size = 0
         for batch in batches:
@@ -151,36 +151,57 @@ def _offer(buckets: int, part: float):
                 held[key] = _within(members, part, _OFFER)
                 size += len(held[key])
                 if size >= PER_FLUSH:
-                    yield _flush(held, buckets, part)
-                    held, size = {}, 0
+                    yield _flush(held, buckets, part, origin)
+                    held, size, origin = {}, 0, origin + 1
         if held:
-            yield _flush(held, buckets, part)
+            yield _flush(held, buckets, part, origin)
 
     return run
 
 
+_COUNTED = "origin bigint, sets binary, counts binary"
+
+
 def _count_shared(table: pa.Table) -> pa.Table:
-    """For each set, its n-grams of this bucket that another set offers."""
-    part = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
-    ids, counts, grams, met = part("ids", np.int64), part("counts", np.uint32), part("own", np.uint32), part("met", np.uint32)
-    names, number = np.unique(ids, return_inverse=True)
-    pairs = np.unique(grams.astype(np.uint64) << np.uint64(32) | np.repeat(number.astype(np.uint64), counts))
+    """One row per flush: how many of its sets' n-grams in this bucket another flush offers too."""
+    column = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in table.column(c)]
+    sets, counts, own = column("sets", np.uint32), column("counts", np.uint32), column("own", np.uint32)
+    starts = np.cumsum([0] + [len(x) for x in sets])
+    entry = np.repeat(np.arange(starts[-1], dtype=np.uint64), np.concatenate(counts))
+    pairs = np.unique(np.concatenate(own).astype(np.uint64) << np.uint64(32) | entry)
     gram = (pairs >> np.uint64(32)).astype(np.uint32)
     new = np.r_[True, gram[1:] != gram[:-1]][: len(gram)]
+    met = np.unique(np.concatenate(column("met", np.uint32)))
     shared = ~(new & np.r_[new[1:], True][: len(gram)]) | np.isin(gram, met)
-    who, n = np.unique(pairs[shared] & np.uint64(0xFFFFFFFF), return_counts=True)
-    keys = np.r_[names[who.astype(np.int64)], part("met_ids", np.int64)]
-    return pa.table({"key": keys, "shared": np.r_[n.astype(np.int64), part("met_counts", np.uint32).astype(np.int64)]})
+    n = np.bincount((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=int(starts[-1])).astype(np.uint32)
+    rows = {"origin": table.column("origin").to_pylist(), "sets": [], "counts": []}
+    for who, start in zip(sets, starts):
+        found = n[start : start + len(who)]
+        rows["sets"].append(who[found > 0].tobytes())
+        rows["counts"].append(found[found > 0].tobytes())
+    return pa.table(rows, schema=pa.schema([("origin", pa.int64()), ("sets", pa.binary()), ("counts", pa.binary())]))
+
+
+def _add_up(flush: pa.Table, counted: pa.Table) -> pa.Table:
+    """The sets of one flush with all that was found in its buckets."""
+    ids = np.frombuffer(flush.column("sets")[0].as_py(), np.int64)
+    total = np.frombuffer(flush.column("counts")[0].as_py(), np.uint32).astype(np.int64)
+    for who, n in zip(counted.column("sets"), counted.column("counts")):
+        total[np.frombuffer(who.as_py(), np.uint32)] += np.frombuffer(n.as_py(), np.uint32)
+    return pa.table({"key": ids[total > 0], "shared": total[total > 0]})
 
 
 def _shared(sets: DataFrame, total: int, part: float) -> DataFrame:
     """(key, shared): how many counted n-grams of a set others have; sets without such have no row.
 
-    A set that more than one task offers may count an n-gram more than once: it looks more shared, which is safe.
+    A set that more than one flush offers may count an n-gram more than once: it looks more shared, which is safe. Rows are
+    buckets x flushes, whatever the number of sets.
     """
-    buckets = max(int(total * part / PER_BUCKET) + 1, shuffle_width(sets.sparkSession))
-    offered = sets.mapInArrow(_offer(buckets, part), _OFFERED).repartition(buckets, "bucket")
-    counted = offered.groupBy("bucket").applyInArrow(_count_shared, "key bigint, shared bigint")
+    buckets = int(total * part / PER_BUCKET) + 1
+    offered = stage(sets.mapInArrow(_offer(buckets, part), _OFFERED), "offered")
+    per_bucket = offered.where("bucket >= 0").repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_count_shared, _COUNTED)
+    flushes = offered.where("bucket < 0").select("origin", "sets", "counts")
+    counted = flushes.groupBy("origin").cogroup(per_bucket.withColumnRenamed("origin", "of").groupBy("of")).applyInArrow(_add_up, "key bigint, shared bigint")
     return counted.groupBy("key").agg(F.sum("shared").alias("shared"))
 
 

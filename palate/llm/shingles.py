@@ -34,7 +34,7 @@ _LETTER = mix(_folded + np.uint64(1))
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers.get("up", ())) < n:
-        size = max(n, 2 * _SEGMENT)
+        size = max(n, _SEGMENT)
         _powers["up"] = np.cumprod(np.full(size, _MULTIPLIER))
         _powers["down"] = np.cumprod(np.full(size, _INVERSE))
     return _powers["up"][:n], _powers["down"][:n]
