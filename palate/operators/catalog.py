@@ -43,8 +43,8 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def append_unique(existing: DataFrame, new: DataFrame, key: str = "track_id", order: list | None = None) -> DataFrame:
-    """Existing rows win; of the new rows the first per key is added."""
-    fresh = keep_first(new, [key], order or [F.desc("popularity")])
+    """Existing rows win; of the new rows the first per key is added: the most popular, then by all other columns."""
+    fresh = keep_first(new, [key], order or [F.desc("popularity"), *[F.asc_nulls_last(c) for c in sorted(new.columns) if c not in (key, "popularity")]])
     return existing.unionByName(fresh.join(existing.select(key), key, "left_anti").select(*existing.columns))
 
 
@@ -65,31 +65,38 @@ def attach_features(rows: DataFrame, features: DataFrame) -> DataFrame:
     return complete(bare.join(one_each, "track_id", "left"))
 
 
-def unresolved_by_popularity(rows: DataFrame, features: DataFrame) -> DataFrame:
-    return rows.join(features.select("track_id"), "track_id", "left_anti").orderBy(*by_popularity())
+def unresolved_by_popularity(rows: DataFrame, features: DataFrame, size: int = FEATURE_BATCH) -> DataFrame:
+    """Rows without features, numbered in batches of the most popular first."""
+    return batches(rows.join(features.select("track_id"), "track_id", "left_anti"), by_popularity(), size)
 
 
 def staged_candidates(found: DataFrame, needed: int) -> DataFrame:
     """found(strategy, bucket, bucket_order, track_id, popularity, ...): cap per bucket, floor, then a
     budget of a third of the need per strategy, taken in bucket order.
 
-    The cap per bucket leaves few rows per strategy, so the budget window is small.
+    A bucket's rows are ranked within the bucket; how many rows the buckets before it offer comes from running sums over the
+    table of bucket sizes, one row per bucket. No window holds a strategy's rows.
     """
     floor = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(v)) for s, v in POPULARITY_FLOOR.items()])
     cap = F.coalesce(*[F.when(F.col("strategy") == s, F.lit(v)) for s, v in BUCKET_CAP.items()])
-    shown = Window.partitionBy("strategy", "bucket").orderBy(F.desc("popularity"), "track_id")
+    key = ["strategy", "bucket_order", "bucket"]
+    shown = Window.partitionBy(*key).orderBy(F.desc("popularity"), "track_id")
     largest = max(BUCKET_CAP.values())
+    # The floor only cuts the end of a bucket's list, so the rank in the bucket is the rank among what it offers.
     offered = (
         found.withColumn("_shown", F.row_number().over(shown))
         .where(F.col("_shown") <= largest)
         .where((F.col("_shown") <= cap) & (F.col("popularity") >= floor))
     )
-    taken = Window.partitionBy("strategy").orderBy("bucket_order", "_shown")
+    before = Window.partitionBy("strategy").orderBy("bucket_order", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = offered.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     budget = needed // len(STRATEGIES)
     return (
-        offered.withColumn("taken", F.row_number().over(taken))
+        offered.join(starts.where(F.col("_start") < budget), key)
+        .withColumn("taken", (F.col("_start") + F.col("_shown")).cast("int"))
         .where(F.col("taken") <= budget)
-        .drop("_shown")
+        .drop("_shown", "_start")
     )
 
 
@@ -101,14 +108,15 @@ def expand(catalog: DataFrame, found: DataFrame, features: DataFrame, needed: in
     return canonical(attach_features(new.join(catalog.select("track_id"), "track_id", "left_anti"), features))
 
 
-def batches(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Dense batch numbers in key order without sorting the table in one task.
+def batches(df: DataFrame, key: str | list[Column], size: int) -> DataFrame:
+    """Dense batch numbers in the order of a key or of columns, without sorting the table in one task.
 
     Range partitions are numbered locally; the start of each partition comes from the small table of
     partition sizes.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(key).sortWithinPartitions(key)
+    order = [key] if isinstance(key, str) else key
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = ranged.withColumn("_mono", F.monotonically_increasing_id())
     part, local = F.shiftright("_mono", 33), F.col("_mono").bitwiseAND((1 << 33) - 1)
     rows = numbered.select(*df.columns, part.alias("_part"), local.alias("_local"))
@@ -126,7 +134,7 @@ def batches(df: DataFrame, key: str, size: int) -> DataFrame:
 
 def split_bucket(key: str, buckets: int = 100) -> Column:
     """Stable bucket of a key: the same at every catalog size and row order."""
-    return F.pmod(F.xxhash64(key), F.lit(buckets))
+    return F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % buckets
 
 
 def split_name(bucket: Column) -> Column:
@@ -138,8 +146,8 @@ def split_name(bucket: Column) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, key: str = "track_id", seed: int = 42) -> DataFrame:
-    """n rows without replacement, reproducible: the smallest hashes of (key, seed)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement, reproducible in any engine: the smallest digests of key and seed."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
 def table_counts(named: dict[str, DataFrame]) -> DataFrame:

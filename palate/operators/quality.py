@@ -44,7 +44,9 @@ def library_with_features(library: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def newest_first(library: DataFrame) -> DataFrame:
-    return library.orderBy("user_id", F.desc("added_at"), "track_id")
+    """Each listener's rows one after another, newest first: placed by listener and sorted where they lie, so the table is
+    neither sampled nor sorted as a whole."""
+    return library.repartition("user_id").sortWithinPartitions("user_id", F.desc("added_at"), "track_id")
 
 
 def volume_gate(users: DataFrame, usable: DataFrame, minimum: int = MIN_LIBRARY) -> DataFrame:

@@ -371,7 +371,7 @@ def w1(spark, d):
     return kept.select("user_id", "track_id", F.date_format("added_at", "yyyy-MM-dd").alias("added_at"), "playlist_name")
 
 
-@query("w9_sample")
+@query("w9_sample", views("tracks") + "SELECT track_id FROM tracks ORDER BY md5(track_id || ':42'), track_id LIMIT 1000")
 def w9(spark, d):
     return C.sample_rows(B.tracks(spark, d).select("track_id"), 1000)
 
@@ -386,9 +386,12 @@ def w11(spark, d):
 
 @query(
     "w12_unresolved_by_popularity",
-    views("tracks") + "SELECT track_id, popularity FROM tracks WHERE track_id NOT IN (SELECT vec_id FROM embeddings)",
+    views("tracks")
+    + """SELECT track_id, popularity, i AS row_index, i // 40 AS batch_no FROM (
+        SELECT track_id, popularity, row_number() OVER (ORDER BY popularity DESC, track_id) - 1 AS i FROM tracks WHERE track_id NOT IN (SELECT vec_id FROM embeddings))""",
 )
 def w12(spark, d):
+    """Which tracks to look up next: the most popular ones in the first batches."""
     return C.unresolved_by_popularity(B.tracks(spark, d).select("track_id", "popularity"), B.embeddings(spark, d))
 
 
@@ -433,6 +436,17 @@ def p2(spark, d):
     return ingest.expand_catalog(have, found_tracks(spark, d), B.tracks(spark, d), target=have.count() + 300)
 
 
+@query(
+    "p2_default_target",
+    views("complete", extra={k: v for k, v in STAGED.items() if k != "staged"} | {"budget": f"SELECT ({C.CATALOG_TARGET} - count(*)) // 3 AS n FROM complete WHERE track_id % 2 = 0",
+        "staged": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY bucket_order, nth)::INTEGER AS taken FROM offered) WHERE taken <= (SELECT n FROM budget)"})
+    + f"SELECT {CATALOG_SQL} FROM complete WHERE track_id IN (SELECT track_id FROM staged) AND track_id % 2 <> 0",
+)
+def p2_default(spark, d):
+    have = Q.complete(B.tracks(spark, d)).where(F.col("track_id") % 2 == 0)
+    return ingest.expand_catalog(have, found_tracks(spark, d), B.tracks(spark, d))
+
+
 RELATED = {
     "counts": "SELECT user_id, artists, count(*) AS cnt FROM rich GROUP BY 1, 2",
     "fav": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cnt DESC, artists) AS place FROM counts) WHERE place <= 10",

@@ -15,7 +15,7 @@ from palate.operators import discovery as D
 from palate.operators import evaluation as E
 from palate.operators import quality as Q
 from palate.operators import taste
-from palate.operators.catalog import split_name
+from palate.operators.catalog import split_bucket, split_name
 from palate.plans.lifecycle import whole_days
 from palate.registry.core import FEATURE_LIST, MOOD_SQL, WEIGHT_SQL, cosine_sql, query, views
 from palate.registry.tables import rich
@@ -569,9 +569,10 @@ def fingerprint(library: DataFrame) -> DataFrame:
 @query(
     "w10_split",
     views("complete")
-    + """SELECT track_id, CASE WHEN track_id % 100 < 64 THEN 'train' WHEN track_id % 100 < 80 THEN 'validation' ELSE 'test' END AS split FROM complete""",
+    + """SELECT track_id, CASE WHEN b < 64 THEN 'train' WHEN b < 80 THEN 'validation' ELSE 'test' END AS split
+        FROM (SELECT track_id, ('0x' || substr(md5(track_id::VARCHAR), 1, 8))::BIGINT % 100 AS b FROM complete)""",
 )
 def w10(spark, d):
-    return Q.complete(B.tracks(spark, d)).select("track_id", split_name(F.col("track_id") % 100).alias("split"))
+    return Q.complete(B.tracks(spark, d)).select("track_id", split_name(split_bucket("track_id")).alias("split"))
 
 
