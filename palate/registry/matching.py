@@ -158,8 +158,18 @@ def j11_second(spark, d):
     return feature_chain(batch(landed), batch_id=1, **given).select("track_id", "source", "foreign_id")
 
 
+_COLLECTED: dict[tuple[str, str], ingest.Collected] = {}
+
+
 def collected(spark, d) -> ingest.Collected:
-    """The second of two batches of landed rows."""
+    """The second of two batches of landed rows, collected once per application and folder."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _COLLECTED:
+        _COLLECTED[key] = _collect_twice(spark, d)
+    return _COLLECTED[key]
+
+
+def _collect_twice(spark, d) -> ingest.Collected:
     users = B.users(spark, d).select("user_id", "display_name")
     items = B.landed_library(spark, d).withColumnRenamed("batch_key", "event_id").withColumn("source_priority", F.lit(0))
     items = items.join(users, "user_id").join(wanted_titles(spark, d), "track_id").withColumn("popularity", F.lit(None).cast("int"))
