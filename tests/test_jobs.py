@@ -7,14 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from palate.functions.text import indel_ratio
-from palate.plans.snapshot import NothingPublished, Snapshots
 from palate.operators import embedding as M
 from palate.operators import resolve
 from palate.operators.catalog import append_unique, attach_features, batches, cache_misses, insert_absent, search
 from palate.operators.evaluation import embedding_metrics, overlap, suite_rollup, training_summary
 from palate.operators.quality import volume_gate
-from palate.plans import lifecycle
+from palate.plans import crosswalk, lifecycle
 from palate.plans.recommend import prefer_energy
+from palate.plans.snapshot import NothingPublished, Snapshots
 from palate.schema import FEATURES, feature_schema
 from palate.session import new_path
 from palate.sources import delivery, files
@@ -307,3 +307,28 @@ def test_skipped_rows_have_a_reason(spark):
     assert got == {
         (1, 2): ("t", "a", lifecycle.NO_TRACK), (2, 1): ("Unknown", "a", lifecycle.SHORT_LIST), (2, 2): ("x", "Unknown", lifecycle.NO_TRACK)
     }
+
+
+def test_crosswalk_remembers(spark, monkeypatch):
+    row = lambda i, v: (i, *[v if c not in ("key", "mode") else 1 for c in FEATURES])
+    typed = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in feature_schema().fields)
+    features = spark.createDataFrame([row(1, 0.5)], typed)
+    titles = "title string, artists string, album string, isrc string"
+    foreign = spark.createDataFrame([(71, "blue night", "act", None, "Q1"), (72, "red day", "act", None, None), (73, "gone", "act", None, None)], f"foreign_id long, {titles}")
+    theirs = spark.createDataFrame([row(71, 0.25), row(72, 0.75)], typed).withColumnRenamed("track_id", "foreign_id")
+    rows = [(1, "own", "act", None, None), (2, "other title", "act", None, "Q1"), (3, "Red Day (Live)", "act", None, None), (4, "gone", "act", None, None), (5, "unlike", "nobody", None, None)]
+    tracks = spark.createDataFrame(rows, f"track_id long, {titles}")
+    walk, asked, real = crosswalk.Crosswalk(spark, new_path(spark, "crosswalk")), [], crosswalk.resolve_titles
+
+    def counted(wanted, known):
+        asked.append(sorted(r[0] for r in wanted.select("track_id").collect()))
+        return real(wanted, known)
+
+    monkeypatch.setattr(crosswalk, "resolve_titles", counted)
+    chain = lambda batch: {(r.track_id, r.source, r.foreign_id, r.energy) for r in crosswalk.feature_chain(tracks, features, foreign, theirs, walk, batch).collect()}
+    first = {(1, "direct", None, 0.5), (2, "resolved", 71, 0.25), (3, "resolved", 72, 0.75)}
+    assert chain(0) == first and chain(0) == first  # a batch that is run again does not see itself
+    assert chain(1) == {(i, "crosswalk" if s == "resolved" else s, f, e) for i, s, f, e in first}
+    # Only what has no features so far is looked for again; the stored pairs stay.
+    assert asked == [[2, 3, 4, 5], [2, 3, 4, 5], [4, 5]]
+    assert {(r.track_id, r.foreign_id) for r in walk.pairs().collect()} == {(2, 71), (3, 72), (4, 73)}
