@@ -17,8 +17,8 @@ CHECKED = [
     "s8_payload_flatten", "f2_complete_filter", "f7_popularity_band", "j11_feature_cascade", "a1_mood_statistics",
     "a3_listening_patterns", "a9_quality_profile", "a20_keywords", "w1_keep_first", "w3_profile_top",
     "w2_similar_to_seeds", "w7_mood_quotas", "w17_profile_discovery", "u5_overlap", "j9_resolve_titles", "p7_retrain_decision",
-    "j8_pruned_join", "w3_pruned_top", "w4_greedy_diversity", "w9_sample", "w10_split", "w12_unresolved_by_popularity", "w13_staged_candidates",
-    "p2_default_target", "p4_mood_quick", "p4_mood_energy", "j11_second_batch", "p1_collect_gated_rows", "p1_collect_users", "p1_collect_grown_catalog",
+    "j8_pruned_join", "w4_greedy_diversity", "w9_sample", "w10_split", "w12_unresolved_by_popularity", "w13_staged_candidates",
+    "p2_default_target", "p4_mood_quick", "p1_collect_gated_rows", "p1_collect_users", "p1_collect_grown_catalog",
     "s9_snapshot_profile_top", "g15_incremental_lists", "p7_growth_decision", "p8_delivered_batches", "p8_skipped_rows", "t1_stream_ingest", "a19_six_suites",
 ]
 
