@@ -1,6 +1,7 @@
 """Similarity kernel and list building against brute force, on data made to hurt."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +270,38 @@ def test_only_changed_listeners_are_computed_again(spark):
     prints = lambda r: {tuple(x) for x in fingerprints(spark.createDataFrame(r, "user_id long, track_id long")).collect()}
     parts = [fingerprints(spark.createDataFrame(sorted(rows)[k::2], "user_id long, track_id long")) for k in (0, 1)]
     assert {tuple(x) for x in add_prints(*parts).collect()} == prints(sorted(rows, reverse=True))
+
+
+def test_pruned_search_sends_a_row_per_slab_and_not_per_group(spark, monkeypatch):
+    """Vectors without clusters visit every group: 40 groups in 5 slabs, some of them with pieces, are at most 5 rows per query and pass."""
+    rng = np.random.default_rng(3)
+    catalog = {t: rng.normal(size=8) for t in range(400)} | {t: np.ones(8) for t in range(400, 520)}
+    queries = {q: rng.normal(size=8) for q in range(64)}
+    monkeypatch.setattr(P, "SLAB_ROWS", 90)
+    sent = []
+    before = P._compare
+    monkeypatch.setattr(P, "_compare", lambda visits, *rest: sent.append(visits.count()) or before(visits, *rest))
+    frame = lambda d, name: spark.createDataFrame([(i, v.tolist()) for i, v in d.items()], f"{name} long, vec array<double>")
+    banned = {(q, t) for q in range(64) for t in range(q, 520, 9)}
+    owned = spark.createDataFrame(list(banned), "query_id long, track_id long")
+    found, visited = P.nearest_pruned(frame(queries, "query_id"), frame(catalog, "track_id"), 7, S._cell_kernel(7), 13, owned, 520, 13, 20)
+    assert {(r["query_id"], r["track_id"], r["rank"], r["sim"] + 0.0) for r in found.collect()} == brute_top(queries, catalog, 7, banned)
+    assert all(n <= 64 * 8 for n in sent) and sum(r["visits"] for r in visited.collect()) > 2 * sum(sent)
+
+
+@pytest.mark.parametrize("light_over", [1, 10**9])
+def test_single_precision_only_rules_out(light_over, monkeypatch):
+    """Scores that differ by less than single precision can tell, and hundreds of equal ones, rank as in double precision."""
+    monkeypatch.setattr(S, "LIGHT_OVER", light_over)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    near = {t: base + rng.normal(size=16) * 1e-6 for t in range(300)} | {t: base for t in range(300, 700)} | {t: rng.normal(size=16) for t in range(700, 2000)}
+    queries = {0: base, 1: rng.normal(size=16), 2: np.zeros(16)}
+    table = lambda d, name, **more: pa.table({name: list(d), "vec": [v.tolist() for v in d.values()], **more})
+    left = table(queries, "query_id", masked_id=pa.array([None] * 3, pa.int64()))
+    got = S._cell_kernel(25)(left, table(near, "track_id")).to_pylist()
+    assert {(r["query_id"], r["track_id"], r["rank"], r["sim"] + 0.0) for r in got} == brute_top(queries, near, 25)
+
+
+def test_long_lists_take_fewer_queries_to_a_cell():
+    assert S.plan_grid(1_000_000, 60_000, 8, 60_000).query_groups * S.CELL_RESULTS >= 1_000_000 * 60_000
