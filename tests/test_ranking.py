@@ -305,3 +305,24 @@ def test_single_precision_only_rules_out(light_over, monkeypatch):
 
 def test_long_lists_take_fewer_queries_to_a_cell():
     assert S.plan_grid(1_000_000, 60_000, 8, 60_000).query_groups * S.CELL_RESULTS >= 1_000_000 * 60_000
+
+
+@pytest.mark.parametrize("n, artists", [(4, 50), (30, 5), (30, 200), (70, 7), (400, 3)])
+def test_walk_over_heads_is_the_walk_over_whole_lists(spark, monkeypatch, n, artists):
+    """Also where few artists leave most places to the order, where titles repeat, and where heads must grow; no head is the whole catalog
+    unless it must be."""
+    monkeypatch.setattr(recommend, "SPARE_ROWS", 2)
+    rng = np.random.default_rng(n)
+    rows = [(t, f"Title {t % 90}", f"Artist {t % artists if t % 5 else 0}", 50, 0.5, 0.5, 0.5, rng.normal(size=6).tolist()) for t in range(300)]
+    features = "energy double, danceability double, valence double"
+    catalog = spark.createDataFrame(rows, f"track_id long, track_name string, artists string, popularity int, {features}, vec array<double>")
+    library = spark.createDataFrame([(u, int(t)) for u in range(6) for t in rng.choice(300, 3 + 20 * u, replace=False)], "user_id long, track_id long")
+    inputs = recommend.Inputs(library, catalog.drop("vec"), catalog, n_listeners=6, n_catalog=300)
+    whole = recommend.profile_top(inputs, 300).drop("rank").join(catalog.select("track_id", "track_name", "artists"), "track_id")
+    depths = []
+    search = recommend.nearest_tracks
+    monkeypatch.setattr(recommend, "nearest_tracks", lambda q, c, k, **more: depths.append(k) or search(q, c, k, **more))
+    got = recommend.diversified_profile_top(inputs, n)
+    listed = lambda df: sorted((r["user_id"], r["rank"], r["track_id"], r["sim"]) for r in df.collect())
+    assert listed(got) == listed(diversify(whole, n, ["user_id"]))
+    assert depths[0] == min(n + max(2, n // 8), 300)
