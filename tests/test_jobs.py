@@ -332,3 +332,28 @@ def test_crosswalk_remembers(spark, monkeypatch):
     # Only what has no features so far is looked for again; the stored pairs stay.
     assert asked == [[2, 3, 4, 5], [2, 3, 4, 5], [4, 5]]
     assert {(r.track_id, r.foreign_id) for r in walk.pairs().collect()} == {(2, 71), (3, 72), (4, 73)}
+
+
+def test_delivery_writes_few_files(spark, monkeypatch):
+    """A task's batches share files, each a line."""
+    folder = new_path(spark, "service")
+    recs = spark.createDataFrame([(u, r, u * 100 + r) for u in range(200) for r in range(1, 5)], "user_id long, rank int, track_id long")
+    delivery.deliver(lifecycle.export_batches(recs, 2).repartition(2, "user_id"), folder, "one")
+    files_there = glob.glob(folder.removeprefix("file:") + "/delivered/**/*.json", recursive=True)
+    assert len(files_there) < 100 and delivery.delivered(spark, folder, "one").count() == 400
+
+
+def test_collected_library_rows_include_tracks_without_all_features(spark, tmp_path):
+    """Track 37 lacks a feature; its library row is collected all the same, track 40 (divisible by five) is stored already."""
+    from palate.registry import QUERIES
+
+    at = lambda name: str(tmp_path / f"{name}.parquet")
+    spark.sql("SELECT id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type, 1 AS p_size, 1D AS p_retailprice FROM range(50)").write.parquet(at("part"))
+    spark.sql(
+        "SELECT 1L AS o_orderkey, 9L AS o_custkey, 'F' AS o_orderstatus, 1D AS o_totalprice, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS o_orderdate, '5-LOW' AS o_orderpriority"
+    ).write.parquet(at("orders"))
+    spark.sql(
+        "SELECT 1L AS l_orderkey, explode(array(36L, 37L, 40L)) AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, 1D AS l_quantity, 1D AS l_extendedprice, 0D AS l_discount,"
+        " 0D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS l_shipdate"
+    ).write.parquet(at("lineitem"))
+    assert {tuple(r) for r in QUERIES["p1_collect_library_rows"](spark, str(tmp_path)).collect()} == {(9, 36), (9, 37)}
