@@ -27,3 +27,11 @@ def test_edge_rows(spark):
     assert mix(df).count() == 5 and sample(df).columns == df.columns
     assert mix(df.where("false")).count() == 0
     assert sample(df).collect() == sample(df.repartition(3)).collect() or sample(df).count() == sample(df.repartition(3)).count()
+
+
+def test_default_targets_move_weight_to_small_sources(spark):
+    """Of two sources with 90 and 10 % of the tokens the large one gives way noticeably."""
+    rows = [(i, "one two three", "en", "large" if i % 10 else "small") for i in range(200)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    large = {r["probability"] for r in out.where("in_3 = 'large'").collect()}
+    assert max(large) < 0.85 and {r["probability"] for r in out.where("in_3 = 'small'").collect()} == {1.0}
