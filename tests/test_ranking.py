@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from palate.operators import evaluation as E
 from palate.operators import pruned as P
 from palate.operators import ranking as R
 from palate.operators import similarity as S
@@ -326,3 +327,21 @@ def test_walk_over_heads_is_the_walk_over_whole_lists(spark, monkeypatch, n, art
     listed = lambda df: sorted((r["user_id"], r["rank"], r["track_id"], r["sim"]) for r in df.collect())
     assert listed(got) == listed(diversify(whole, n, ["user_id"]))
     assert depths[0] == min(n + max(2, n // 8), 300)
+
+
+@pytest.mark.parametrize("most", [50, 65536])
+def test_lowest_cosine_is_exact_without_all_lists(spark, monkeypatch, most):
+    """In a catalog of several groups only what can be the best pair of all is compared after the first look."""
+    monkeypatch.setattr(S, "CATALOG_ROWS", most)
+    monkeypatch.setattr(S, "GROUP_ROWS", 20)
+    rng = np.random.default_rng(9)
+    vectors = {t: rng.normal(size=5) + 1 for t in range(300)}
+    df = spark.createDataFrame([(t, v.tolist()) for t, v in vectors.items()], "track_id long, vec array<double>")
+    unit = np.array([v / np.linalg.norm(v) for v in vectors.values()])
+    got = E.embedding_metrics(df).first()
+    assert got["min_similarity"] == pytest.approx((unit @ unit.T).min(), abs=1e-9) and got["max_similarity"] == 1.0
+    opposite = df.select(F.col("track_id").alias("query_id"), F.transform("vec", lambda x: -x).alias("vec"))
+    if most == 50:
+        _, visited = P.nearest_pruned(opposite, df, 1, S._cell_kernel(1), 20, None, 300, 50, 64, overall=True)
+        every = {r["pass"]: r["compared"] for r in P.nearest_pruned(opposite, df, 1, S._cell_kernel(1), 20, None, 300, 50, 64)[1].collect()}
+        assert {r["pass"]: r["compared"] for r in visited.collect()}.get(2, 0) < every[2] / 2
