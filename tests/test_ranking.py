@@ -345,3 +345,18 @@ def test_lowest_cosine_is_exact_without_all_lists(spark, monkeypatch, most):
         _, visited = P.nearest_pruned(opposite, df, 1, S._cell_kernel(1), 20, None, 300, 50, 64, overall=True)
         every = {r["pass"]: r["compared"] for r in P.nearest_pruned(opposite, df, 1, S._cell_kernel(1), 20, None, 300, 50, 64)[1].collect()}
         assert {r["pass"]: r["compared"] for r in visited.collect()}.get(2, 0) < every[2] / 2
+
+
+def test_pools_spread_together_as_they_do_alone():
+    """Pools of different lengths, one longer than a batch; each batch is one call, not each pool."""
+    rng = np.random.default_rng(2)
+    rows = [(u, t, round(float(rng.uniform(-1, 1)), 2), rng.normal(size=4).tolist()) for u, m in ((-3, 7), (4, 1), (5, 12), (9, 30)) for t in range(m)]
+    batch = lambda some: pa.RecordBatch.from_pydict(dict(zip(("user_id", "track_id", "sim", "vec"), map(list, zip(*some)))))
+    for seed in (None, 7):
+        alone = [r for u in (-3, 4, 5, 9) for b in R._spreader(5, 0.3, seed)([batch([x for x in rows if x[0] == u])]) for r in b.to_pylist()]
+        cut = [batch(rows[at : at + 9]) for at in range(0, len(rows), 9)]
+        key = lambda r: (r["user_id"], r["rank"])
+        together = list(R._spreader(5, 0.3, seed)(cut))
+        assert sorted((r for b in together for r in b.to_pylist()), key=key) == sorted(alone, key=key)
+        whole = list(R._spreader(5, 0.3, seed)([batch(rows)]))
+        assert len(whole) == 2 and sum(b.num_rows for b in whole) == 16
