@@ -16,7 +16,7 @@ from palate.plans import crosswalk, lifecycle
 from palate.plans.recommend import prefer_energy
 from palate.plans.snapshot import NothingPublished, Snapshots
 from palate.schema import FEATURES, feature_schema
-from palate.session import new_path
+from palate.session import new_path, stage
 from palate.sources import delivery, files
 from palate.streaming import library as S
 
@@ -194,6 +194,44 @@ def test_training_lowers_validation_error_and_publishes(spark):
     assert checked and all(r["query_id"] != r["track_id"] for r in checked)
 
 
+def test_training_checks_weights_while_the_next_epoch_trains(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    frame = lambda n: stage(spark.createDataFrame([(rng.random(12).tolist(),) for _ in range(n)], "feat array<double>"), "rows")
+    train, validation = frame(300), frame(40)
+    local = train.repartition(4, "feat").mapInArrow(M._epoch_job(spark.sparkContext.broadcast(M.init_weights()), 1e-3, 1, 7), f"part int, {M.PARTIAL}")
+    local = stage(local, "local")
+    by_driver = M._weighted_average(local, 4)
+    monkeypatch.setattr(M, "DIRECT_PARTS", 0)
+    by_groups = M._weighted_average(local, 4)
+    assert np.allclose(by_driver[0], by_groups[0]) and by_driver[1:] == pytest.approx(by_groups[1:])
+    monkeypatch.undo()
+    jobs = []
+    for epochs in (2, 6):
+        spark.sparkContext.setJobGroup(f"training {epochs}", "training")
+        M.train_autoencoder(train, validation, epochs=epochs)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"training {epochs}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # An epoch trains in one job and is checked in two.
+    assert jobs[1] - jobs[0] == 3 * 4
+    monkeypatch.setattr(M, "SLOW_PATIENCE", 2)
+    monkeypatch.setattr(M, "STOP_PATIENCE", 3)
+    monkeypatch.setattr(M, "LEARNING_RATE", 0.05)
+    model = M.train_autoencoder(train, validation, epochs=12)
+    # Rates, the best weights and the end follow from the checked losses, as without running ahead.
+    best, waited, slow, rate = np.inf, 0, 0, 0.05
+    for at, (epoch, _, loss, _, used) in enumerate(model.history, 1):
+        assert (epoch, used) == (at, rate)
+        waited, slow = (0, 0) if loss < best else (waited + 1, slow + 1)
+        best = min(best, loss)
+        if slow >= 2:
+            rate, slow = rate * M.SLOW_FACTOR, 0
+        assert waited < 3 or at == len(model.history)
+    shared = spark.sparkContext.broadcast(model.weights)
+    row = validation.mapInArrow(M._validation_job(shared), "n bigint, squared double, absolute double").selectExpr("sum(squared) / sum(n) AS loss").first()
+    assert row["loss"] == pytest.approx(best)
+    assert waited == 3 or len(model.history) == 12
+
+
 def test_snapshots_change_as_a_whole(spark):
     store = Snapshots(spark, new_path(spark, "snapshots"))
     tables = lambda v: {"a": spark.range(v), "b": spark.range(2 * v)}
