@@ -395,3 +395,15 @@ def test_collected_library_rows_include_tracks_without_all_features(spark, tmp_p
         " 0D AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS l_shipdate"
     ).write.parquet(at("lineitem"))
     assert {tuple(r) for r in QUERIES["p1_collect_library_rows"](spark, str(tmp_path)).collect()} == {(9, 36), (9, 37)}
+
+
+def test_embedding_metrics_compute_a_length_once_per_vector(spark, monkeypatch):
+    from palate.operators import evaluation
+
+    plans, search = [], evaluation.highest_cosine
+    monkeypatch.setattr(evaluation, "highest_cosine", lambda q, c: plans.extend(x._jdf.queryExecution().optimizedPlan().toString() for x in (q, c)) or search(q, c))
+    frame = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [-3.0, 4.0])], "track_id long, vec array<double>")
+    row = evaluation.embedding_metrics(frame).first()
+    assert (row["min_similarity"], row["max_similarity"]) == (pytest.approx(0.0), 1.0)
+    lines = [line for plan in plans for line in plan.splitlines() if "transform(" in line]
+    assert lines and not any("aggregate(" in line for line in lines)
