@@ -14,7 +14,7 @@ from palate.operators.taste import listening_patterns, mood_counts
 from palate.plans import recommend
 from palate.plans.incremental import ListStore, add_prints, fingerprints, refresh
 from palate.plans.lifecycle import export_batches, retrain_decision
-from palate.session import new_path
+from palate.session import even_keys, new_path
 
 
 def brute_top(queries, catalog, k, banned=()):
@@ -360,3 +360,14 @@ def test_pools_spread_together_as_they_do_alone():
         assert sorted((r for b in together for r in b.to_pylist()), key=key) == sorted(alone, key=key)
         whole = list(R._spreader(5, 0.3, seed)([batch(rows)]))
         assert len(whole) == 2 and sum(b.num_rows for b in whole) == 16
+
+
+def test_cells_are_dealt_evenly(spark):
+    for n, parts in ((8, 8), (24, 8), (5, 5), (13, 4), (1, 1), (96, 12)):
+        keys = [r["key"] for r in spark.range(1).select(F.explode(even_keys(spark, n, parts)).alias("key")).collect()]
+        assert len(set(keys)) == len(keys) == n
+        rows = spark.createDataFrame([(k,) for k in keys], "cell bigint").repartition(parts, "cell")
+        held = [r["n"] for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(held) == min(n, parts) and max(held) == -(-n // parts)
+    # With more cells than slots, they fill every wave.
+    assert S.plan_grid(900_000, 30_000, 12).cells == 24 and S.plan_grid(100_000, 30_000, 12).cells == 12
