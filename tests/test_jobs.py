@@ -407,3 +407,21 @@ def test_embedding_metrics_compute_a_length_once_per_vector(spark, monkeypatch):
     assert (row["min_similarity"], row["max_similarity"]) == (pytest.approx(0.0), 1.0)
     lines = [line for plan in plans for line in plan.splitlines() if "transform(" in line]
     assert lines and not any("aggregate(" in line for line in lines)
+
+
+def test_owned_rows_need_no_first_addition(spark, tmp_path):
+    from palate.sources import bindings as B
+
+    day = "TIMESTAMP_NTZ '2024-01-01 00:00:00'"
+    orders = [(1, 7), (2, 7), (3, None), (None, 8), (4, 9), (4, 9)]
+    values = ", ".join(f"({'NULL' if k is None else k}, {'NULL' if u is None else u}, 'O', 1.0D, {day}, 'p{i}')" for i, (k, u) in enumerate(orders))
+    spark.sql(f"SELECT CAST(a AS bigint) o_orderkey, CAST(b AS bigint) o_custkey, c o_orderstatus, d o_totalprice, e o_orderdate, f o_orderpriority FROM VALUES {values} t(a, b, c, d, e, f)").write.parquet(f"{tmp_path}/orders.parquet")
+    items = "(1, 5), (1, 5), (2, 5), (2, 6), (3, 5), (4, NULL), (NULL, 5)"
+    spark.sql(f"SELECT CAST(a AS bigint) l_orderkey, CAST(b AS bigint) l_partkey FROM VALUES {items} t(a, b)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = B.owned(spark, str(tmp_path))
+    assert (spark.sparkContext.applicationId, str(tmp_path), "library") not in B._STORED
+    expected = [(7, 5), (7, 6), (9, None), (None, 5)]
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    assert order(rows.collect()) == order(expected)
+    # Where the library is there already, it is read, with the same rows.
+    assert order(B.library(spark, str(tmp_path)).select("user_id", "track_id").collect()) == order(B.owned(spark, str(tmp_path)).collect()) == order(expected)
