@@ -425,3 +425,23 @@ def test_owned_rows_need_no_first_addition(spark, tmp_path):
     assert order(rows.collect()) == order(expected)
     # Where the library is there already, it is read, with the same rows.
     assert order(B.library(spark, str(tmp_path)).select("user_id", "track_id").collect()) == order(B.owned(spark, str(tmp_path)).collect()) == order(expected)
+
+
+def test_landed_rows_are_joined_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However well the rows compress: adaptive execution would pack all of them into few tasks."""
+    from palate import session
+    from palate.sources import bindings as B
+
+    n, most = 20_000, 500
+    spark.sql(f"SELECT id AS l_orderkey, id % 7 AS l_partkey FROM range(0, {n}, 1, 4)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql(
+        f"SELECT id AS o_orderkey, id % 50 AS o_custkey, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS o_orderdate, 'p' AS o_orderpriority FROM range({n})"
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(session, "TASK_ROWS", most, raising=False)
+    landed = B.landed_library(spark, str(tmp_path))
+    sizes = [r["count"] for r in landed.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) <= 2 * most
+    assert landed.where("user_id <> batch_key % 50 OR track_id <> batch_key % 7").isEmpty()
+    monkeypatch.setattr(session, "TASK_ROWS", n)
+    small = B.landed_library(spark, str(tmp_path))
+    assert small.count() == n
