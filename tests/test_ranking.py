@@ -371,3 +371,29 @@ def test_cells_are_dealt_evenly(spark):
         assert len(held) == min(n, parts) and max(held) == -(-n // parts)
     # With more cells than slots, they fill every wave.
     assert S.plan_grid(900_000, 30_000, 12).cells == 24 and S.plan_grid(100_000, 30_000, 12).cells == 12
+
+
+def test_candidates_lie_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Small rows in any number: adaptive execution would pack them into few tasks. The same lists as in tasks of its choice."""
+    from palate import session
+    from palate.operators.ranking import seed_candidates
+    from palate.plans import recommend
+
+    near = spark.range(40).select(F.col("id").alias("seed_id"), F.expr("transform(sequence(1, 12), i -> struct(i AS rank, (id * 7 + i) % 90 AS track_id, 1 / CAST(i AS double) AS sim)) AS near"))
+    library = spark.range(4000).select((F.col("id") % 400).alias("user_id"), F.expr("(id * 13 + id div 400) % 40").alias("track_id"), F.lit(20).alias("in_catalog")).distinct()
+    names = spark.range(90).selectExpr("id AS track_id", "concat('t', id % 31) AS track_name", "concat('a', id % 17) AS artists", "1 AS popularity")
+    given = recommend.Inputs(library, names, names, n_listeners=400)
+
+    def lists(rows):
+        found = seed_candidates(library, near, library.where("track_id % 3 = 0"), 4, ["user_id"])
+        return found, diversify(recommend._named(found, given, rows), 5, ["user_id"], rows)
+
+    tables = []
+    for most in (1 << 19, 40):
+        monkeypatch.setattr(session, "TASK_ROWS", most, raising=False)
+        tables.append(lists(library.count() * 4))
+    (before, walked_before), (found, walked) = tables
+    ordered = lambda df: sorted(map(tuple, df.collect()))
+    assert ordered(found) == ordered(before) and ordered(walked) == ordered(walked_before)
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 4 * 40 < found.count() / 8
