@@ -397,3 +397,24 @@ def test_candidates_lie_in_tasks_of_bounded_size(spark, monkeypatch):
     assert ordered(found) == ordered(before) and ordered(walked) == ordered(walked_before)
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) <= 4 * 40 < found.count() / 8
+
+
+def test_exports_of_packed_lists_need_no_shuffle(spark):
+    """Lists that come as arrays give the same batches, skipped rows and counts as their rows, where they lie."""
+    from palate.plans import lifecycle as L
+
+    rows = [(u, r, None if (u + r) % 4 == 0 or (u % 5 == 0 and r > 2) else 100 * u + r) for u in range(20) for r in range(1, 2 + u % 9)]
+    recs = spark.createDataFrame(rows, "user_id long, rank int, track_id long").withColumns({c: F.lit(None).cast("string") for c in ("track_name", "artists")})
+    lists = recs.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "track_id"))).alias("near"))
+    lists = spark.createDataFrame(lists.collect(), lists.schema).withColumns({c: F.lit(None).cast("string") for c in ("track_name", "artists")})
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    for run in (lambda df: export_batches(df.drop("track_name", "artists"), 2), L.export_skipped, L.export_stats):
+        packed, plain = run(lists), run(recs)
+        assert packed.dtypes == plain.dtypes and key(packed) == key(plain) and packed.count()
+        assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_lists_of_a_middling_catalog_come_from_one_cell(spark):
+    """100,000 tracks are one group: no list is put together from several slabs, and long lists do not multiply the cells."""
+    assert S.plan_grid(900_000, 102_564, 12, 150).catalog_groups == 1
+    assert S.plan_grid(900_000, 102_564, 12, 150).cells <= 24
