@@ -1,9 +1,12 @@
 import itertools
 import random
+import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from palate.llm.chat_repair import COSTS, STATES, chat_repair, forward, moves
-from palate.llm.license_scan import full_texts, license_scan
+from palate.llm.license_scan import KNOWN, SPELLINGS, full_texts, license_scan, normal
 
 
 def least(roles):
@@ -80,3 +83,25 @@ def test_full_texts_and_wrapped_notices(spark):
     assert got["wrapped"] == (None, 0, "GPL-3.0") and got["own"] == (None, 0, "")
     given = license_scan(df, texts=spark.createDataFrame([("Own", "my own terms")], "licence string, text string")).collect()
     assert [r.doc_id for r in given if r.licences] == ["own"]
+
+
+def test_units_are_normalised_like_each_alone(spark):
+    """Whole texts come from their lines, with literal searches for the spellings; each unit alone gives the same."""
+    assert str(normal(F.col("text"))).count("regexp_replace") == 2
+
+    def alone(text):
+        out = re.sub(r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$", "", re.sub(r"\r(?!\n)", "\n", text.lower()))
+        for said, same in SPELLINGS:
+            out = out.replace(said, same)
+        return re.sub("[^a-z0-9à-ɏ]+", " ", out).strip(" ")
+
+    mit = "Released under the\n MIT Licence."
+    texts = [mit, f"a\n\n{mit}\n \t\n\nb", f"Copyright me\n{mit}", f"x\r\n\r\n(c) you\r\n{mit}\r\n\r\ny", f"\n\n{mit}", "All rights\rreserved.\nAll rights reserved"]
+    texts += [f"a\n\n\f copyright z\n{mit}", "a\n--\nAll rights reserved", "ALL RİGHTS reserved", f"©\n{mit}\n©", "copyrights\nall rights reserved"]
+    names = {alone(text): name for name, text in KNOWN}
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, text in enumerate(texts):
+        lines = [names[alone(x)] for x in text.split("\n") if alone(x) in names]
+        parts = [names[alone(p)] for p in re.split(r"\n[ \t\r]*\n\s*", text) if "\n" in p.strip(" ") and alone(p) in names]
+        whole = names.get(alone(text))
+        assert got[i] == (whole, len(lines), ",".join(sorted({*lines, *parts, *([whole] if whole else [])}))), (text, got[i])
