@@ -50,3 +50,19 @@ def test_split_like_the_normaliser(coder):
             continue
         want = coder.tokenizer.normalizer.normalize_str("a" + chr(i) + "b").count(" ")
         assert len(bpe.split("a" + chr(i) + "b")) == 1 + want, hex(i)
+
+
+def test_worker_memory_is_bounded(coder, monkeypatch):
+    """Few words are remembered, as packed ids, a batch is cut in parts, and merges for long words are loaded when one comes."""
+    monkeypatch.setattr(bpe, "MEMORY", 300)
+    monkeypatch.setattr(bpe, "TAKEN", 500)
+    own = bpe.Coder(PATH)
+    assert "open" not in vars(own)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdeé,. ") for _ in range(rng.randrange(0, 120))) for _ in range(400)] + ["", " "]
+    got = []
+    for text, ids in zip(texts, own.texts(texts), strict=True):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+        got.append(ids)
+    assert len(own.memory) <= 300 and all(isinstance(code, bytes) for code in (own.memory | own.roots).values())
+    assert own.texts([]) == [] and own.piece("ab", False) and "open" in vars(own)
