@@ -304,6 +304,30 @@ def test_single_precision_only_rules_out(light_over, monkeypatch):
     assert {(r["query_id"], r["track_id"], r["rank"], r["sim"] + 0.0) for r in got} == brute_top(queries, near, 25)
 
 
+def test_search_looks_through_products_tile_by_tile(monkeypatch):
+    """No product of queries and tracks is larger than a tile needs, also where owned tracks are the best and scores rise to the end."""
+    monkeypatch.setattr(S, "TILE", 1 << 10)
+    monkeypatch.setattr(S, "TILE_QUERIES", 16)
+    sizes = []
+    before = S._maxima
+    monkeypatch.setattr(S, "_maxima", lambda sims, k: sizes.append(sims.size if sims.dtype == np.float32 else 0) or before(sims, k))
+    rng = np.random.default_rng(9)
+    rising = {t: np.array([1.0, 40.0 / (t + 1), 0, 0]) for t in range(1500)}
+    catalog = rising | {t: rng.normal(size=4) for t in range(1500, 3000)} | {t: np.ones(4) for t in range(3000, 3100)}
+    queries = {q: rng.normal(size=4) for q in range(50)} | {50: np.array([1.0, 0, 0, 0]), 51: np.ones(4), 52: np.zeros(4)}
+    banned = {(q, t) for q in queries for t in range(q % 7, 3100, 7)} | {(50, t) for t in range(1400, 1500)} | {(3, t) for t in catalog if t != 8}
+    table = lambda ids, vecs, name, **more: pa.table({name: ids, "vec": pa.array(vecs, pa.list_(pa.float64())), **more})
+    left = pa.concat_tables(
+        [
+            table(list(queries), [v.tolist() for v in queries.values()], "query_id", masked_id=pa.array([None] * len(queries), pa.int64())),
+            table([q for q, _ in banned], [[]] * len(banned), "query_id", masked_id=pa.array([t for _, t in banned], pa.int64())),
+        ]
+    )
+    got = S._cell_kernel(6)(left, table(list(catalog), [v.tolist() for v in catalog.values()], "track_id")).to_pylist()
+    assert {(r["query_id"], r["track_id"], r["rank"], r["sim"] + 0.0) for r in got} == brute_top(queries, catalog, 6, banned)
+    assert len(sizes) > 20 and max(sizes) <= 16 * 2 * S.LIGHT_OVER * 6
+
+
 def test_long_lists_take_fewer_queries_to_a_cell():
     assert S.plan_grid(1_000_000, 60_000, 8, 60_000).query_groups * S.CELL_RESULTS >= 1_000_000 * 60_000
 
