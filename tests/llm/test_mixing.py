@@ -35,3 +35,13 @@ def test_default_targets_move_weight_to_small_sources(spark):
     out = mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
     large = {r["probability"] for r in out.where("in_3 = 'large'").collect()}
     assert max(large) < 0.85 and {r["probability"] for r in out.where("in_3 = 'small'").collect()} == {1.0}
+
+
+def test_a_step_is_one_join(spark, monkeypatch):
+    """Targets are joined once, so a round has one join for each margin."""
+    cells = spark.createDataFrame([("a", "x", "t", 9), ("b", "y", None, 4), (None, "y", "t", 2)], "source string, lang string, topic string, weight bigint")
+    joins, frame = [], type(cells)
+    before = frame.join
+    monkeypatch.setattr(frame, "join", lambda self, *a, **b: joins.append(1) or before(self, *a, **b))
+    rows = rake(cells, rounds=2)
+    assert len(joins) == 3 + 2 * 3 and rows.columns == [*cells.columns, "factor"] and rows.count() == 3
